@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, simhash
+from . import bpe, pii, simhash, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_byte_bpe": bpe.query,
+    "op8_url_rules": url_rules.query,
     "op9_simhash_pivots": simhash.query,
     "op10_pii": pii.query,
 }
 ORACLES: dict[str, str] = {
+    "op8_url_rules": url_rules.ORACLE,
     "op10_pii": pii.ORACLE,
 }
