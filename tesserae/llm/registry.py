@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, simhash, url_rules
+from . import bpe, pii, simhash, token_files, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": token_files.query,
     "op5_byte_bpe": bpe.query,
     "op8_url_rules": url_rules.query,
     "op9_simhash_pivots": simhash.query,
