@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, simhash, token_files, url_rules
+from . import bpe, pii, simhash, token_files, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_packages": warc.query,
     "op3_token_files": token_files.query,
     "op5_byte_bpe": bpe.query,
     "op8_url_rules": url_rules.query,
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": pii.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_warc_packages": warc.ORACLE,
     "op8_url_rules": url_rules.ORACLE,
     "op10_pii": pii.ORACLE,
 }
