@@ -28,45 +28,75 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, shared_dir, small_batches, table, written
+from .common import shared_dir, small_batches, table, written
 from .files import Output, open_input
 
 MAGIC = b"TIDZ0001"
 END_ID = 1
-#: The dictionary is trained on the documents with the smallest hashes of doc_id: at most so many, and so many characters of their texts together.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 4_000_000
+#: The dictionary is trained on about so many documents, chosen by their hash among those of at most so many characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
 DICTIONARY_BYTES = 32_768
 LEVEL = 3
 #: Rows that one file holds, about; and the most files (each then holds more rows), so that their bounds stay small.
 FILE_ROWS, MAX_FILES = 20_000, 20_000
 #: Distinct words whose ids a worker remembers; then it starts anew.
-CACHE = 200_000
+CACHE = 600_000
 _NULL_ID = -(1 << 63)
 
 
 class Words:
-    """A tokenizer that drops white space, applied to the distinct words of many texts.
+    """A tokenizer that lower-cases and drops white space, applied to the distinct words of many texts.
 
-    Space and newline end every pre-token of such a tokenizer, so a text's ids are its words' ids in a row; the words are
-    encoded by the library itself.
+    Space and newline end every pre-token of such a tokenizer, so a text's ids are its words' ids in a row. So does a
+    full stop or comma after a letter, so a Latin-1 word with one behind it has the ids of the word and of the mark; and
+    such words are looked up in lower case. Words are encoded by the library itself.
     """
 
     def __init__(self, data: str):
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_str(data)
-        self.cache: dict[str, np.ndarray] = {}
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 in order
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
+        self.cache: dict[str, bytes] = {}
+
+    def _letters(self, word: str) -> bytes:
+        piece = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _library(self, words: list[str]) -> None:
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
         if len(self.cache) > CACHE:
             self.cache = {}
         cache, split = self.cache, [t.replace("\n", " ").split(" ") for t in texts]
-        todo = list({w for words in split for w in words}.difference(cache))
-        for a in range(0, len(todo), 20_000):
-            part = todo[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([cache[w] for w in words]), "<u4") for words in split]
+        other = []
+        for w in set().union(*split).difference(cache):
+            base = w[:-1] if w[-1:] in (",", ".") else w
+            if base.isalpha() and max(base) < "\u0100":
+                low = base.lower()
+                if low not in cache:
+                    cache[low] = self._letters(low)
+                if base is not w:
+                    if w[-1] not in cache:
+                        self._library([w[-1]])
+                    cache[w] = cache[low] + cache[w[-1]]
+                elif low != w:
+                    cache[w] = cache[low]
+            else:
+                other.append(w)
+        self._library([w for w in other if w not in cache])
+        get = cache.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 _words: dict[int, Words] = {}
@@ -81,18 +111,20 @@ def _tokenizer(data: str) -> Words:
 
 
 def _ids(data: str, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Ids of each text with the end id; texts in groups of bounded length."""
-    end = np.array([END_ID], "<u4")
+    """Ids of each text with the end id; texts in groups of bounded number."""
+    end = struct.pack("<I", END_ID)
     for a in range(0, len(texts), 200):
         for ids in _tokenizer(data).encode([t or "" for t in texts[a : a + 200]]):
-            yield np.concatenate([ids, end])
+            yield np.frombuffer(ids + end, "<u4")
 
 
 def train(docs: DataFrame, tokenizer: str, width: int) -> bytes:
     """A dictionary from the serialized ids of the documented sample; empty if there is too little to learn from."""
-    sample = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE_ROWS).select(F.length("text").alias("n"), "text", "h")
-    w = "sum(n) over (order by h rows unbounded preceding)"
-    texts = [r.text for r in sample.selectExpr("text", f"{w} as total").where(F.col("total") <= SAMPLE_CHARS).collect()]
+    fit = docs.where(F.length("text") <= SAMPLE_CHARS)
+    n = fit.count()
+    if n > SAMPLE_ROWS:
+        fit = fit.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < (SAMPLE_ROWS << 40) // n)
+    texts = [r.text for r in fit.select("text").collect()]
     samples = [x.astype(f"<u{width}").tobytes() for x in _ids(tokenizer, texts)]
     if len(samples) < 100:
         return b""
@@ -133,7 +165,10 @@ def write(docs: DataFrame, tokenizer_path: str, uri: str, file_rows: int = FILE_
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, trained, bounds = shared.value
-        c = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+        d = zstandard.ZstdCompressionDict(trained) if trained else None
+        if d:
+            d.precompute_compress(LEVEL)
+        c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d)
         for b in batches:
             n, frames = [], []
             for ids in _ids(data, b.column(1).to_pylist()):
