@@ -25,7 +25,7 @@ from .common import small_batches, table
 #: Bytes up to which words are contracted as lists, one row a word.
 LIST_BYTES = 256
 #: Distinct words whose tokens a worker remembers; then it starts anew.
-CACHE = 150_000
+CACHE = 600_000
 #: Bytes of words in one recursive query, and characters of texts handled together: these bound memory.
 QUERY_BYTES = 2_000_000
 GROUP_CHARS = 3_000_000
@@ -104,41 +104,36 @@ class Codec:
             self.db.register("given", df)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """The tokens of each word of the pattern."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """The tokens of each word of the pattern, as little-endian unsigned 32-bit numbers."""
         if len(self.cache) > CACHE:
             self.cache = {}
-        todo, size, out = [], 0, {}
-        for word in words:
-            got = self.cache.get(word)
-            if got is None:
-                raw = word.encode("utf-8", "surrogatepass")
-                rank = self.ranks.get(raw)
-                if rank is None:
-                    todo.append((word, raw))
-                    size += len(raw)
-                    if size > QUERY_BYTES:
-                        self._contract(todo, out)
-                        todo, size = [], 0
-                    continue
-                got = np.array([rank], "<u4")
-                if len(raw) < LIST_BYTES:
-                    self.cache[word] = got
-            out[word] = got
-        self._contract(todo, out)
-        return [out[x] for x in words]
-
-    def _contract(self, todo: list[tuple[str, bytes]], out: dict[str, np.ndarray]) -> None:
+        out = list(map(self.cache.get, words))
+        todo, size = [], 0
+        for i in [i for i, x in enumerate(out) if x is None]:
+            raw = words[i].encode("utf-8", "surrogatepass")
+            rank = self.ranks.get(raw)
+            if rank is not None:
+                out[i] = self.cache[words[i]] = rank.to_bytes(4, "little")
+                continue
+            todo.append((i, raw))
+            size += len(raw)
+            if size > QUERY_BYTES:
+                self._contract(todo, words, out)
+                todo, size = [], 0
+        self._contract(todo, words, out)
+        return out
+
+    def _contract(self, todo: list[tuple[int, bytes]], words: list[str], out: list[bytes | None]) -> None:
         byte = np.array(self.byte, np.int32)
         for short in (True, False):
             part = [x for x in todo if (len(x[1]) <= LIST_BYTES) == short]
             if not part:
                 continue
-            raws = [np.frombuffer(raw, np.uint8) for _, raw in part]
-            lens = np.array([len(x) for x in raws])
-            toks = byte[np.concatenate(raws)]
+            lens = np.array([len(raw) for _, raw in part])
+            toks = byte[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
             ends = np.cumsum(lens)
             if short:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(toks))
@@ -149,11 +144,13 @@ class Codec:
                 start = pa.table({"w": w, "p": np.arange(len(toks), dtype=np.int64) - np.repeat(ends - lens, lens), "t": toks})
                 got = self._run("start_rows", start, _ROWS)
             lists = got.column("toks").combine_chunks()
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            for i, w in enumerate(got.column("w").to_numpy()):
-                out[part[w][0]] = x = flat[at[i] : at[i + 1]].copy()
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            at = 4 * np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            for w, a, z in zip(got.column("w").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                i = part[w][0]
+                out[i] = x = flat[a:z]
                 if short:
-                    self.cache[part[w][0]] = x
+                    self.cache[words[i]] = x
 
     def _run(self, name: str, start: pa.Table, sql: str) -> pa.Table:
         self.db.register(name, start)
@@ -175,8 +172,8 @@ class Codec:
         codes, distinct = pd.factorize(np.array(pieces, dtype=object))
         del pieces
         ids = self.words(list(distinct))
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, first = np.concatenate(ids), np.cumsum(lens) - lens
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens) - lens
         n = lens[codes]
         ends = np.cumsum(n)
         all_ids = flat[np.repeat(first[codes] - (ends - n), n) + np.arange(ends[-1])]
