@@ -18,6 +18,7 @@ nulls first) may meet in one partition: a frame is a fraction of its text, and w
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,12 +45,17 @@ CACHE = 600_000
 _NULL_ID = -(1 << 63)
 
 
+#: The lower-case letters, numbers and white space of Latin-1, and the pre-tokens of the vocabulary in such a text (fixed values).
+_L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+
+
 class Words:
     """A tokenizer that lower-cases and drops white space, applied to the distinct words of many texts.
 
-    Space and newline end every pre-token of such a tokenizer, so a text's ids are its words' ids in a row. So does a
-    full stop or comma after a letter, so a Latin-1 word with one behind it has the ids of the word and of the mark; and
-    such words are looked up in lower case. Words are encoded by the library itself.
+    In a Latin-1 text the library's normalizer only lower-cases and turns white space to spaces, and its pre-tokenizer
+    cuts the pieces of _PIECE; the library's model encodes each distinct piece. Other texts, and those that may hold a special
+    token, are cut at spaces and newlines, which end every pre-token; the library encodes each distinct part.
     """
 
     def __init__(self, data: str):
@@ -63,38 +69,31 @@ class Words:
         self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
         self.cache: dict[str, bytes] = {}
 
-    def _letters(self, word: str) -> bytes:
-        piece = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(piece)]
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece if piece.isalpha() and piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.alphabet))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _library(self, words: list[str]) -> None:
-        for a in range(0, len(words), 20_000):
-            part = words[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         if len(self.cache) > CACHE:
             self.cache = {}
-        cache, split = self.cache, [t.replace("\n", " ").split(" ") for t in texts]
-        other = []
-        for w in set().union(*split).difference(cache):
-            base = w[:-1] if w[-1:] in (",", ".") else w
-            if base.isalpha() and max(base) < "\u0100":
-                low = base.lower()
-                if low not in cache:
-                    cache[low] = self._letters(low)
-                if base is not w:
-                    if w[-1] not in cache:
-                        self._library([w[-1]])
-                    cache[w] = cache[low] + cache[w[-1]]
-                elif low != w:
-                    cache[w] = cache[low]
-            else:
-                other.append(w)
-        self._library([w for w in other if w not in cache])
+        cache, split, whole = self.cache, [], set()
+        for t in texts:
+            try:
+                t.encode("latin-1")
+                simple = "<|" not in t
+            except UnicodeEncodeError:
+                simple = False
+            split.append(_PIECE.findall(t.lower()) if simple else t.replace("\n", " ").split(" "))
+            if not simple:
+                whole.update(split[-1])
+        for w in set().union(*split).difference(cache, whole):
+            cache[w] = self._piece(w)
+        rest = list(whole.difference(cache))
+        for a in range(0, len(rest), 20_000):
+            part = rest[a : a + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
