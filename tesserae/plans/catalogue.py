@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import elements, temporal  # noqa: F401
+from . import elements, spatial, temporal  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
