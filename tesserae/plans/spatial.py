@@ -48,10 +48,10 @@ def subband_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("label", "band", "grp").agg(F.count("*").alias("n"), r6(F.sum(F.col("v") * F.col("v")), "energy"), r6(F.avg(F.abs("v")), "mean_abs"))
 
 
-_VAR = f"(SELECT vec_id, x // 2 AS bx, y // 2 AS "by", var_pop(v) AS variance FROM {SAMPLES} GROUP BY 1, 2, 3)"
+_VAR = f'(SELECT vec_id, x // 2 AS bx, y // 2 AS "by", var_pop(v) AS variance FROM {SAMPLES} GROUP BY 1, 2, 3)'
 
 
-@query(f"SELECT vec_id, bx, "by", round(variance, 6) AS variance FROM {_VAR}")
+@query(f'SELECT vec_id, bx, "by", round(variance, 6) AS variance FROM {_VAR}')
 def ll_block_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _variances(spark, sf_dir).select("vec_id", "bx", "by", r6(F.col("variance"), "variance"))
 
