@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import kept, let_go, small_batches, table, tidy
 
 #: Bytes up to which words are contracted as lists, one row a word.
 LIST_BYTES = 256
 #: Distinct words whose tokens a worker remembers; then it starts anew.
 CACHE = 600_000
 #: Bytes of words in one recursive query, and characters of texts handled together: these bound memory.
-QUERY_BYTES = 2_000_000
-GROUP_CHARS = 3_000_000
+QUERY_BYTES = 1_000_000
+GROUP_CHARS = 1_500_000
 
 _LISTS = """
 WITH RECURSIVE r(w, toks) USING KEY (w) AS (
@@ -86,6 +86,7 @@ class Codec:
         import duckdb
         import regex
 
+        self.source = (data, pattern)
         self.ranks = ranks = read_ranks(data)
         self.pattern = regex.compile(pattern)
         self.byte = [ranks[bytes([b])] for b in range(256)]
@@ -195,15 +196,12 @@ class Codec:
         return out
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(data: bytes, pattern: str) -> Codec:
-    key = hash((data, pattern))
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(data, pattern)
-    return _codecs[key]
+    codec = kept("bpe", lambda: Codec(data, pattern))
+    if codec.source != (data, pattern):
+        let_go()
+        codec = kept("bpe", lambda: Codec(data, pattern))
+    return codec
 
 
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -239,7 +237,7 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
     small_batches(tokens.sparkSession)
-    return tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, bytes binary")
+    return tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(tidy(run, "bpe"), "doc_id long, bytes binary")
 
 
 def _read(path: str) -> bytes:
@@ -282,7 +280,7 @@ def _run(docs: DataFrame, vocabulary: str, pattern: str, digest: bool) -> DataFr
 
     small_batches(spark)
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "bpe"), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

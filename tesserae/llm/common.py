@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +29,39 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: What a Python worker keeps from one task to the next: the tables of one operator, never of two.
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """The worker's object of this key, made if need be; others are let go."""
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go(keep: Any = None) -> None:
+    """Drops what the worker keeps under other keys and gives freed memory back to the system."""
+    for key in [k for k in _kept if k != keep]:
+        del _kept[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], key: Any = None) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow function that, before and after its partition, drops what other operators left in the worker."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        let_go(key)
+        yield from run(batches)
+        let_go(key)
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below the shared folder that spark.checkpoint.dir names.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidy
 
 MASKS = ("11010011", "11001011", "11111")
 OVERLAP = 13
@@ -193,7 +193,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
                     )
                 a = z
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(tidy(run), SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidy
 
 #: About so many labelled rows are learned from; all if there are fewer.
 TRAIN_ROWS = 20_000
@@ -217,7 +217,7 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             at = np.nonzero(into)[0]
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "k": pa.array(at, pa.int32()), "n": into[at]})
 
-    counts = known.select("text", "lang").mapInArrow(run, "lang string, k int, n double").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
+    counts = known.select("text", "lang").mapInArrow(tidy(run), "lang string, k int, n double").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts["lang"]) - {_NONE})
     all_ = np.zeros((BUCKETS + len(_NAMES), len(langs)))
     counts = counts[counts["lang"] != _NONE]
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang", "_score"])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, ", ".join([*fields, "_lang string", "_score double"]))
+    return docs.mapInArrow(tidy(run), ", ".join([*fields, "_lang string", "_score double"]))
 
 
 def label_spans(docs: DataFrame, model: Model) -> DataFrame:
@@ -260,7 +260,7 @@ def label_spans(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spans array<struct<lang:string,first_word:long,n_words:long>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, spans array<struct<lang:string,first_word:long,n_words:long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

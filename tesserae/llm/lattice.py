@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, table, written
+from .common import connected_components, table, tidy, written
 
 THRESHOLD = 0.95
 TABLES, PROBES, SCALE, SEED = 6, 4, 0.3, 7
@@ -143,7 +143,7 @@ def hashed(reps: DataFrame) -> DataFrame:
                     names=["rep", "cell", "home", "signs"],
                 )
 
-    return reps.select("rep", "dims", "vec").mapInArrow(run, "rep long, cell long, home boolean, signs long")
+    return reps.select("rep", "dims", "vec").mapInArrow(tidy(run), "rep long, cell long, home boolean, signs long")
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
                 ok[at] = (_units(x.take(take)) * _units(y.take(take))).sum(axis=1) >= THRESHOLD - _SLACK
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in range(4)], names=["a", "b", "m_a", "m_b"])
 
-    return pairs.select("a", "b", "m_a", "m_b", "vec_a", "vec_b").mapInArrow(run, "a long, b long, m_a long, m_b long")
+    return pairs.select("a", "b", "m_a", "m_b", "vec_a", "vec_b").mapInArrow(tidy(run), "a long, b long, m_a long, m_b long")
 
 
 def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table, written
+from .common import kept, let_go, shared_dir, small_batches, table, tidy, written
 from .files import Output, open_input
 
 MAGIC = b"TIDZ0001"
@@ -61,7 +61,7 @@ class Words:
     def __init__(self, data: str):
         import tokenizers
 
-        self.tokenizer = tokenizers.Tokenizer.from_str(data)
+        self.source, self.tokenizer = data, tokenizers.Tokenizer.from_str(data)
         self.model = self.tokenizer.model
         # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 in order
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -98,15 +98,12 @@ class Words:
         return [b"".join(map(get, words)) for words in split]
 
 
-_words: dict[int, Words] = {}
-
-
 def _tokenizer(data: str) -> Words:
-    key = hash(data)
-    if key not in _words:
-        _words.clear()
-        _words[key] = Words(data)
-    return _words[key]
+    words = kept("words", lambda: Words(data))
+    if words.source != data:
+        let_go()
+        words = kept("words", lambda: Words(data))
+    return words
 
 
 def _ids(data: str, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -200,8 +197,8 @@ def write(docs: DataFrame, tokenizer_path: str, uri: str, file_rows: int = FILE_
         yield pa.RecordBatch.from_pydict({"file": [name], "first_doc_id": [first], "n_docs": [len(index)], "n_tokens": [total]})
 
     small_batches(spark)
-    frames = docs.mapInArrow(compress, "place int, doc_id long, n long, frame binary").repartitionById(len(bounds) + 1, "place").drop("place")
-    return written(frames.sortWithinPartitions("doc_id", "frame").mapInArrow(save, "file string, first_doc_id long, n_docs long, n_tokens long"), "token-files")
+    frames = docs.mapInArrow(tidy(compress, "words"), "place int, doc_id long, n long, frame binary").repartitionById(len(bounds) + 1, "place").drop("place")
+    return written(frames.sortWithinPartitions("doc_id", "frame").mapInArrow(tidy(save), "file string, first_doc_id long, n_docs long, n_tokens long"), "token-files")
 
 
 def read_index(f) -> tuple[bytes, int, list[np.ndarray]]:
@@ -276,7 +273,7 @@ def _read(files: DataFrame, uri: str, digest_only: bool) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([doc, pa.array(starts[a:z]), pa.array(counts[a:z].astype(np.int64)), last], names=["doc_id", "start", "n_tokens", "last"])
 
     name = "ids_crc32 long" if digest_only else "ids binary"
-    out = todo.mapInArrow(run, f"doc_id long, start long, n_tokens long, last {name.split()[1]}")
+    out = todo.mapInArrow(tidy(run), f"doc_id long, start long, n_tokens long, last {name.split()[1]}")
     return out.withColumnRenamed("last", name.split()[0])
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table, written
+from .common import shared_dir, small_batches, table, tidy, written
 from .files import Output, open_input
 
 DATE = "1970-01-01T00:00:00Z"
@@ -189,7 +189,7 @@ def write(pages: DataFrame, uri: str, min_bytes: int = 0) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [len(index)]})
 
     small_batches(pages.sparkSession)
-    return written(with_records(pages, min_bytes).mapInArrow(save, "file string, n_records long"), "packages")
+    return written(with_records(pages, min_bytes).mapInArrow(tidy(save), "file string, n_records long"), "packages")
 
 
 def blocks(files: DataFrame, uri: str) -> DataFrame:
@@ -220,7 +220,7 @@ def blocks(files: DataFrame, uri: str) -> DataFrame:
                             [pa.array([file] * len(rows)), pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(n, pa.list_(pa.int64()))], names=["file", "at", "size", "lengths"]
                         )
 
-    return files.select("file").mapInArrow(run, "file string, at long, size long, lengths array<long>")
+    return files.select("file").mapInArrow(tidy(run), "file string, at long, size long, lengths array<long>")
 
 
 def _scan(f, at: int, size: int) -> Iterator[tuple[int, int]]:
@@ -274,7 +274,7 @@ def read(files: DataFrame, uri: str, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in kinds.split(", ")])
 
     n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
-    return todo.repartition(n).mapInArrow(run, kinds)
+    return todo.repartition(n).mapInArrow(tidy(run), kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
