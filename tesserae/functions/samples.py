@@ -56,8 +56,8 @@ def unpack_i16(word: Column) -> tuple[Column, Column]:
 
 def bt601_to_rgb(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
     """Limited-range video samples (16 to 235, 16 to 240) to full-range colour, clamped."""
-    l, u, v = (y - 16.0) * (255.0 / 219.0), (cb - 128.0) * (255.0 / 224.0), (cr - 128.0) * (255.0 / 224.0)
-    parts = (l + 1.402 * v, l - 0.344136 * u - 0.714136 * v, l + 1.772 * u)
+    l, u, v = 1.164 * (y - 16.0), cb - 128.0, cr - 128.0
+    parts = (l + 1.596 * v, l - 0.392 * u - 0.813 * v, l + 2.017 * u)
     return tuple(clamp(x, 0.0, 255.0) for x in parts)
 
 

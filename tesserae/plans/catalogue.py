@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import coding, elements, spatial, temporal  # noqa: F401
+from . import codecs, coding, elements, spatial, temporal  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

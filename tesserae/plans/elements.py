@@ -112,9 +112,8 @@ def temporal_mode_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", fps.alias("fps"), q.alias("q"), temporal_mode(fps, q).alias("mode"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(least(greatest(l + 1.402 * v, 0), 255), 6) AS r, round(least(greatest(l - 0.344136 * u - 0.714136 * v, 0), 255), 6) AS g, round(least(greatest(l + 1.772 * u, 0), 255), 6) AS b
-FROM (SELECT l_orderkey, l_linenumber, (l_quantity * 4 - 16.0) * (255.0 / 219.0) AS l, (l_discount * 2000 - 128.0 + 28) * (255.0 / 224.0) AS u, (l_tax * 2500 - 128.0 + 28) * (255.0 / 224.0) AS v FROM
- (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_discount AS DOUBLE) AS l_discount, CAST(l_tax AS DOUBLE) AS l_tax FROM lineitem))""")
+@query("""SELECT l_orderkey, l_linenumber, round(least(greatest(l + 1.596 * v, 0), 255), 6) AS r, round(least(greatest(l - 0.392 * u - 0.813 * v, 0), 255), 6) + 0.0 AS g, round(least(greatest(l + 2.017 * u, 0), 255), 6) AS b
+FROM (SELECT l_orderkey, l_linenumber, 1.164 * (l_quantity * 4 - 16.0) AS l, l_discount * 2000 + 28 - 128.0 AS u, l_tax * 2500 + 28 - 128.0 AS v FROM lineitem)""")
 def video_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     r, g, b = samples.bt601_to_rgb(c("l_quantity") * 4, c("l_discount") * 2000 + 28, c("l_tax") * 2500 + 28)
