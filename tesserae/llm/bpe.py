@@ -29,6 +29,8 @@ CACHE = 600_000
 #: Bytes of words in one recursive query, and characters of texts handled together: these bound memory.
 QUERY_BYTES = 1_000_000
 GROUP_CHARS = 1_500_000
+#: Ids that one decoding query aggregates.
+DECODE_IDS = 150_000
 
 _LISTS = """
 WITH RECURSIVE r(w, toks) USING KEY (w) AS (
@@ -184,6 +186,9 @@ class Codec:
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each array of ids: tokens joined to the vocabulary, then aggregated in order."""
         lens = np.array([len(x) for x in ids], np.int64)
+        if len(ids) > 1 and lens.sum() > DECODE_IDS:
+            half = len(ids) // 2
+            return self.decode(ids[:half]) + self.decode(ids[half:])
         out = [b""] * len(ids)
         if not lens.sum():
             return out
