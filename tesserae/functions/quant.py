@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Number = Column | float | int
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: nested expressions would be computed again wherever a lambda names them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _c(x: Number) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 

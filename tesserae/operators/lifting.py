@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quant import let
+
 #: Lifting steps and scale of the 9/7 wavelet (fixed values).
 ALPHA, BETA, GAMMA, DELTA, SCALE = -1.586134342, -0.052980118, 0.882911075, 0.443506852, 1.149604398
 INV_SCALE = 0.869864452
@@ -73,25 +75,27 @@ def unhaar(low: Column, high: Column) -> tuple[Column, Column]:
 
 def haar_levels(values: Column, size: int) -> Column:
     """Haar bands of an array of size = 2^n samples: the low one, then the highs from the deepest level to the finest."""
-    out, low = None, values
-    while size > 1:
-        size //= 2
-        even = [F.get(low, F.lit(2 * i)) for i in range(size)]
-        odd = [F.get(low, F.lit(2 * i + 1)) for i in range(size)]
-        pairs = [haar(a, b) for a, b in zip(even, odd, strict=True)]
-        highs = F.array(*(h for _, h in pairs))
-        out = highs if out is None else F.concat(highs, out)
-        low = F.array(*(x for x, _ in pairs))
-    return low if out is None else F.concat(low, out)
+    if size == 1:
+        return values
+    half = size // 2
+
+    def level(v: Column) -> Column:
+        pairs = [haar(F.get(v, F.lit(2 * i)), F.get(v, F.lit(2 * i + 1))) for i in range(half)]
+        return F.concat(haar_levels(F.array(*(x for x, _ in pairs)), half), F.array(*(h for _, h in pairs)))
+
+    return let(values, level)
 
 
 def unhaar_levels(bands: Column, size: int) -> Column:
-    low, n = F.slice(bands, 1, 1), 1
-    while n < size:
-        pairs = [unhaar(F.get(low, F.lit(i)), F.get(bands, F.lit(n + i))) for i in range(n)]
-        low = F.array(*(x for p in pairs for x in p))
-        n *= 2
-    return low
+    if size == 1:
+        return bands
+    half = size // 2
+
+    def level(low: Column) -> Column:
+        pairs = [unhaar(F.get(low, F.lit(i)), F.get(bands, F.lit(half + i))) for i in range(half)]
+        return F.array(*(x for p in pairs for x in p))
+
+    return let(unhaar_levels(F.slice(bands, 1, half), half), level)
 
 
 def temporal53(f0: Column, f1: Column, f2: Column, f3: Column) -> tuple[Column, Column, Column, Column]:

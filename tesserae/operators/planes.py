@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 def pad(df: DataFrame, width: int, height: int, tile: int, value: str = "v") -> DataFrame:
     """Repeats the last column and row out to whole tiles: each edge row yields its copies."""
     w, h = -(-width // tile) * tile, -(-height // tile) * tile
-    reach = lambda c, last, to: F.when(F.col(c) == last, F.sequence(F.lit(last), F.lit(to - 1))).otherwise(F.array(F.col(c).cast("int")))
+    reach = lambda c, last, to: F.when(F.col(c) == last, F.sequence(F.lit(last).cast("long"), F.lit(to - 1).cast("long"))).otherwise(F.array(F.col(c).cast("long")))
     rest = [c for c in df.columns if c not in ("x", "y")]
-    df = df.select(*rest, F.explode(reach("x", width - 1, w)).cast("long").alias("x"), "y")
-    return df.select(*rest, "x", F.explode(reach("y", height - 1, h)).cast("long").alias("y"))
+    df = df.select(*rest, F.explode(reach("x", width - 1, w)).alias("x"), "y")
+    return df.select(*rest, "x", F.explode(reach("y", height - 1, h)).alias("y"))
 
 
 def crop(df: DataFrame, width: int, height: int) -> DataFrame:

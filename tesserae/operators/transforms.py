@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.quant import let
 from . import lifting
 
 
@@ -23,16 +25,15 @@ def hadamard_matrix() -> list[list[float]]:
 
 def separable(a: Column, basis: list[list[float]], n: int) -> Column:
     """basis * block * basis' of an array of n*n samples, as two passes of dot products with literal rows."""
-    rows = [F.array(*(F.lit(float(x)) for x in r)) for r in basis]
+    bank = F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in basis))
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    bank = F.array(*rows)
 
     def one_pass(block: Column) -> Column:
         """Transforms rows and transposes, so that two passes do both directions."""
         lines = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.slice(block, r * n + 1, F.lit(n)))
-        return F.flatten(F.transform(bank, lambda b: F.transform(lines, lambda line: dot(line, b))))
+        return let(lines, lambda held: F.flatten(F.transform(bank, lambda b: F.transform(held, lambda line: dot(line, b)))))
 
-    return one_pass(one_pass(a))
+    return let(a, lambda block: let(one_pass(block), one_pass))
 
 
 def dct(a: Column, n: int = 8) -> Column:
@@ -77,10 +78,11 @@ def block_transform(name: str, a: Column, inverse: bool = False) -> Column:
         steps = [s.T for s in reversed(steps)]
     if name == "haar16":
         return separable(a, steps[0].tolist(), 16)
-    out = a
-    for s in steps:
-        out = _low_quarter(out, s) if s.shape == (8, 8) else separable(out, s.tolist(), 16)
-    return out
+
+    def step(m: np.ndarray) -> Callable[[Column], Column]:
+        return lambda v: _low_quarter(v, m) if m.shape == (8, 8) else separable(v, m.tolist(), 16)
+
+    return let(step(steps[0])(a), step(steps[1]))
 
 
 def _corner(m: np.ndarray) -> np.ndarray:
@@ -90,8 +92,9 @@ def _corner(m: np.ndarray) -> np.ndarray:
 def _low_quarter(a: Column, basis: np.ndarray) -> Column:
     """Transforms the 8x8 low corner of a 16x16 array and leaves the rest."""
     low = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(a, r * 16 + 1, F.lit(8))))
-    done = separable(low, basis.tolist(), 8)
-    return F.transform(a, lambda v, i: F.when((i % 16 < 8) & (i < 128), F.get(done, F.floor(i / 16).cast("int") * 8 + i % 16)).otherwise(v))
+    place = lambda i: F.floor(i / 16).cast("int") * 8 + i % 16
+    merged = lambda done: F.transform(a, lambda v, i: F.when((i % 16 < 8) & (i < 128), F.get(done, place(i))).otherwise(v))
+    return let(separable(low, basis.tolist(), 8), merged)
 
 
 # ---- whole tiles
