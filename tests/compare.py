@@ -6,7 +6,7 @@ import math
 
 
 def plain(v):
-    if v is None or v != v or str(v) in ("<NA>", "NaT"):
+    if v is None or str(v) in ("<NA>", "NaT", "nan"):
         return None
     if isinstance(v, (bool, str, bytes)):
         return v
