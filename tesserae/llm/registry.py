@@ -21,7 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": pii.query,
 }
 ORACLES: dict[str, str] = {
-    "op1_spaced_seeds": decontaminate.query,
     "op2_warc_packages": warc.ORACLE,
     "op4_license_scan": licenses.ORACLE,
     "op8_url_rules": url_rules.ORACLE,
