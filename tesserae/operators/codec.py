@@ -29,9 +29,8 @@ def settings(q: int, width: int, height: int, tile: int = 256, **more) -> Frame:
     p = quality_preset(q)
     base = Frame(width, height, tile=tile, step=p["step"], dead_zone=p["dead_zone"], levels=p["levels"], wavelet=p["wavelet"], per_band=True, chroma_weight=p["chroma_weight"])
     base.aq, base.aq_strength = p["aq"] and p["wavelet"] == "9/7", p["aq_strength"]
-    use_cfl = p["cfl"] and more.get("chroma", "444") == "444"
-    f = replace(base, alphas=[] if use_cfl else None, **more)
-    return f
+    base.alphas = [] if p["cfl"] and more.get("chroma", "444") == "444" else None
+    return replace(base, **more)
 
 
 def color(rgb: np.ndarray, lossless: bool) -> list[np.ndarray]:
@@ -329,8 +328,77 @@ def decode_group(blobs: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+#: Display offsets of seven frames between two anchors in coding order, and their references: 0 and 8 are the anchors (fixed values).
+PYRAMID = ((4, 0, 8), (2, 0, 4), (6, 4, 8), (1, 0, 2), (3, 2, 4), (5, 4, 6), (7, 6, 8))
+#: Factor on the step by layer, and the most that it gives.
+LEAF_STEP, MOST_STEP = 1.5, 64.0
+
+
+def _mixed(fwd: np.ndarray, bwd: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
+    """Prediction of a plane by block mode: 0 forward, 1 backward, 2 their mean."""
+    y, x = np.mgrid[: fwd.shape[0], : fwd.shape[1]]
+    m = modes[np.minimum(y // block, modes.shape[0] - 1), np.minimum(x // block, modes.shape[1] - 1)]
+    return np.choose(m, [fwd, bwd, (fwd + bwd) / 2])
+
+
+def _between(planes: list[np.ndarray], fwd: list[np.ndarray], bwd: list[np.ndarray], f: Frame, refs: tuple[int, int], block: int = 16) -> tuple[Frame, list[np.ndarray]]:
+    """A frame predicted from both sides, and its reconstruction."""
+    luma = padded(planes[0], f.tile)
+    va, vb = (search(luma, padded(r[0], f.tile), block, bias=2.0 * block * block / 8) for r in (fwd, bwd))
+    a, b = compensate(padded(fwd[0], f.tile), va, block), compensate(padded(bwd[0], f.tile), vb, block)
+    h, w = luma.shape[0] // block, luma.shape[1] // block
+    cost = lambda p: np.abs(luma - p)[: h * block, : w * block].reshape(h, block, w, block).sum(axis=(1, 3))
+    modes = np.stack([cost(a), cost(b), cost((a + b) / 2)]).argmin(axis=0)
+    guess = [_mixed(compensate(p, va, block), compensate(q, vb, block), modes, block) for p, q in zip(fwd, bwd, strict=True)]
+    moves = [[tuple(int(x) for x in m) for m in v.reshape(-1, 2)] for v in (va, vb)]
+    g = replace(_residual_settings(f), kind="B", block=block, vectors=moves[0], back_vectors=moves[1], modes=modes.ravel().tolist(), refs=refs)
+    coded = encode_planes([p - q for p, q in zip(planes, guess, strict=True)], g)
+    return coded, [p + q for p, q in zip(decode_planes(coded), guess, strict=True)]
+
+
+def encode_pyramid(frames: list[np.ndarray], f: Frame) -> list[bytes]:
+    """Nine frames or fewer in display order: the first on its own, the ninth predicted from it, the seven between from coarse to fine.
+    With fewer frames all but the first are predicted one from another."""
+    if len(frames) != 9:
+        return encode_group(frames, f)
+    planes = [color(x, False) for x in frames]
+    first = encode_planes(planes[0], f)
+    last_blob = encode_group([frames[0], frames[8]], f)[1]
+    out, done = {0: write_frame(first), 8: last_blob}, {0: decode_planes(first)}
+    done[8] = _from(read_frame(last_blob)[0], done[0])
+    for at, a, b in PYRAMID:
+        step = min(MOST_STEP, f.step * (LEAF_STEP if at % 2 else 1.0))
+        coded, done[at] = _between(planes[at], done[a], done[b], replace(f, step=step), (a, b))
+        out[at] = write_frame(coded)
+    return [out[i] for i in range(9)]
+
+
+def _from(f: Frame, ref: list[np.ndarray]) -> list[np.ndarray]:
+    v = np.array(f.vectors).reshape(-1, f.padded_width // f.block, 2)
+    return [p + compensate(r, v, f.block) for p, r in zip(decode_planes(f), ref, strict=True)]
+
+
+def decode_pyramid(blobs: list[bytes]) -> list[np.ndarray]:
+    """Frames of encode_pyramid in display order."""
+    if len(blobs) != 9:
+        return decode_group(blobs)
+    coded = [read_frame(b)[0] for b in blobs]
+    done = {0: decode_planes(coded[0])}
+    done[8] = _from(coded[8], done[0])
+    for at, _, _ in PYRAMID:
+        f = coded[at]
+        across = f.padded_width // f.block
+        va, vb = (np.array(v).reshape(-1, across, 2) for v in (f.vectors, f.back_vectors))
+        modes = np.array(f.modes).reshape(-1, across)
+        a, b = (done[r] for r in f.refs)
+        guess = [_mixed(compensate(p, va, f.block), compensate(q, vb, f.block), modes, f.block) for p, q in zip(a, b, strict=True)]
+        done[at] = [p + q for p, q in zip(decode_planes(f), guess, strict=True)]
+    return [np.clip(uncolor(done[i], False), 0, (1 << coded[0].bit_depth) - 1) for i in range(9)]
+
+
 def encode_sequences(frames: DataFrame, q: int, interval: int = 8, tile: int = 256) -> DataFrame:
-    """(seq_id, frame_idx, kind, blob, bytes, psnr): groups of interval frames, an independent one and predicted ones.
+    """(seq_id, frame_idx, kind, blob, bytes, psnr): groups of interval frames, an independent one and predicted ones; groups of nine have
+    frames predicted from both sides.
 
     A group is one task's work, in order; groups of all sequences are spread over tasks.
     """
@@ -340,9 +408,9 @@ def encode_sequences(frames: DataFrame, q: int, interval: int = 8, tile: int = 2
         w, h = int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])
         rgb = [np.asarray(x, np.float64).reshape(h, w, 3) for x in pdf["rgb"]]
         f = replace(settings(q, w, h, tile), wavelet="9/7")
-        blobs = encode_group(rgb, f)
-        back = decode_group(blobs)
-        rows = [(key[0], i, "I" if n == 0 else "P", b, len(b), psnr(x, np.rint(y))) for n, (i, b, x, y) in enumerate(zip(pdf["frame_idx"], blobs, rgb, back, strict=True))]
+        blobs = encode_pyramid(rgb, f)
+        back = decode_pyramid(blobs)
+        rows = [(key[0], i, read_frame(b)[0].kind, b, len(b), psnr(x, np.rint(y))) for i, b, x, y in zip(pdf["frame_idx"], blobs, rgb, back, strict=True)]
         return pd.DataFrame(rows, columns=["seq_id", "frame_idx", "kind", "blob", "bytes", "psnr"])
 
     g = frames.withColumn("gop", F.floor(F.col("frame_idx") / interval).cast("long"))

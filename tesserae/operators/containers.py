@@ -21,6 +21,8 @@ from .coders.common import read_varint, varint
 from .ordered import offsets
 
 FRAME, SEQUENCE, TEMPORAL = b"GP15", b"GNV1", b"GNV2"
+#: Older frames that are read, oldest first: what each has beyond the one before is told in read_frame.
+OLDER = (b"GPC8", b"GPC9", b"GP10", b"GP11", b"GP12", b"GP13", b"GP14", FRAME)
 SEQUENCE_HEADER, SEQUENCE_ENTRY, TEMPORAL_HEADER, TEMPORAL_ENTRY = 28, 21, 34, 22
 KINDS = ("I", "P", "B")
 CHROMA = ("444", "422", "420")
@@ -146,10 +148,15 @@ def write_frame(f: Frame) -> bytes:
 
 
 def read_frame(data: bytes) -> tuple[Frame, list[bool]]:
-    """The frame, and for each tile whether it has its checksum."""
-    if data[:4] != FRAME:
+    """The frame, and for each tile whether it has its checksum (layouts without checksums: true).
+
+    From the second layout on frames have the flag of band tables, from the third kinds and vectors, from the fourth intra modes,
+    backward vectors and the tile index, from the fifth coded vectors, from the sixth chroma, from the seventh reference indices. Rice
+    tiles of layouts before the last have other parameters and are an error.
+    """
+    if data[:4] not in OLDER:
         raise ValueError(f"not a frame: {data[:4]!r}")
-    at = 4
+    age, at = OLDER.index(data[:4]), 4
 
     def take(form: str) -> tuple:
         nonlocal at
@@ -158,7 +165,9 @@ def read_frame(data: bytes) -> tuple[Frame, list[bool]]:
         return got
 
     width, height, depth, tile, step, dead, levels = take("IIIIffI")
-    wavelet, dct, bands, chroma = take("BBBB")
+    wavelet, dct = take("BB")
+    bands = take("B")[0] if age >= 1 else 0
+    chroma = take("B")[0] if age >= 5 else 0
     low, n = take("fI")
     weights = [low, *take(f"{3 * n}f")]
     (chroma_weight,) = take("f")
@@ -169,22 +178,38 @@ def read_frame(data: bytes) -> tuple[Frame, list[bool]]:
     aq, strength, n = take("IfI")
     weight_map = list(take(f"{n}f")) if n else None
     intra = None
-    if take("B")[0]:
+    if age >= 3 and take("B")[0]:
         count, n = take("II")
         intra, at = unpack_modes(data[at : at + n], count), at + n
-    kind = KINDS[take("B")[0]]
+    kind = KINDS[take("B")[0]] if age >= 2 else "I"
     f = Frame(width, height, depth, tile, step, dead, levels, _WAVELETS[wavelet], bool(dct), bool(bands), CHROMA[chroma], weights, chroma_weight, alphas, bool(aq), strength, weight_map, intra, kind)
+    def moves(count: int, across: int) -> list[tuple[int, int]]:
+        nonlocal at
+        if age >= 4:
+            got, at = read_vectors(data, at, count, across)
+            return got
+        flat = take(f"{2 * count}h")
+        return list(zip(flat[0::2], flat[1::2], strict=True))
+
     if kind != "I":
         f.block, n = take("HI")
-        f.vectors, at = read_vectors(data, at, n, f.padded_width // f.block)
-        if kind == "B":
+        f.vectors = moves(n, f.padded_width // f.block)
+        if kind == "B" and age >= 3:
             (n,) = take("I")
-            f.back_vectors, at = read_vectors(data, at, n, f.padded_width // 16) if n else (None, at)
+            f.back_vectors = moves(n, f.padded_width // 16) if n else None
             (n,) = take("I")
             f.modes = list(take(f"{n}B")) if n else None
-            f.refs = take("BB")
+            f.refs = take("BB") if age >= 6 else (0, 1)
     code, n = take("II")
     f.coder = next(k for k, v in CODERS.items() if v[0] == code)
+    if f.coder == "rice" and age < len(OLDER) - 1:
+        raise ValueError("Rice tiles of this layout are not read")
+    if age < 3:  # tiles follow each other without an index, and tell their own length
+        for _ in range(n):
+            size = tile_length(f.coder, data, at)
+            f.tiles.append(data[at : at + size])
+            at += size
+        return f, [True] * n
     index, valid = [take("II") for _ in range(n)], []
     for size, crc in index:
         f.tiles.append(data[at : at + size])
@@ -193,6 +218,24 @@ def read_frame(data: bytes) -> tuple[Frame, list[bool]]:
     return f, valid
 
 
+def tile_length(coder: str, data: bytes, at: int) -> int:
+    """Bytes of the tile that begins at a place, from its own fields."""
+    begin = at
+    if coder == "rans":
+        _, n, _, _ = struct.unpack_from("<iIIi", data, at)
+        return 16 + 256 + 2 * n + sum(struct.unpack_from("<32I", data, at + 16))
+    if coder == "bitplane":
+        n = struct.unpack_from("<III", data, at)[2]
+        return 16 + 4 * n + struct.unpack_from("<I", data, at + 12 + 4 * n)[0]
+    groups = struct.unpack_from("<IIII", data, at)[3]
+    at += 16
+    for _ in range(groups):
+        at += 12 + 2 * struct.unpack_from("<iIi", data, at)[1] if coder == "rans_bands" else 1 + data[at]
+    if coder == "rans_bands":
+        return at - begin + 256 + sum(struct.unpack_from("<32I", data, at))
+    return at - begin + groups + 512 + sum(struct.unpack_from("<256H", data, at + groups))
+
+
 # ---- sequences
 
 

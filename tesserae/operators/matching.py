@@ -77,25 +77,31 @@ def size_choice(costs: list[Column], lam: float) -> Column:
 
 
 def intra_modes(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bx, by, mode, sad): best of mean, rows, columns and diagonal prediction of 8x8 blocks from original neighbours.
+    """(keys, bx, by, mode, sad): best of mean, left column, upper row and diagonal prediction of 8x8 blocks from original neighbours.
 
-    blocks: (keys, bx, by, a), arrays of 64. A missing neighbour counts as 128; ties keep the lower mode. The neighbours come by
-    equi-joins with the left and upper block.
+    blocks: (keys, bx, by, a), arrays of 64. A missing neighbour counts as 128, the mean is of those there are; ties keep the lower
+    mode. The neighbours come by equi-joins with the left, upper and upper right block.
     """
     left = blocks.select(*keys, (F.col("bx") + 1).alias("bx"), "by", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.get("a", r * 8 + 7)).alias("left"))
     above = blocks.select(*keys, "bx", (F.col("by") + 1).alias("by"), F.slice("a", 57, 8).alias("above"))
+    corner = blocks.select(*keys, (F.col("bx") - 1).alias("bx"), (F.col("by") + 1).alias("by"), F.get("a", F.lit(56)).alias("corner"))
+    df = blocks
+    for side in (left, above, corner):
+        df = df.join(side, [*keys, "bx", "by"], "left")
     none = F.array_repeat(F.lit(128.0), 8)
-    df = blocks.join(left, [*keys, "bx", "by"], "left").join(above, [*keys, "bx", "by"], "left")
-    df = df.withColumns({"left": F.coalesce("left", none), "above": F.coalesce("above", none)})
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    mean = (total(F.col("left")) + total(F.col("above"))) / 16
+    empty = F.array().cast("array<double>")
+    known = F.concat(F.coalesce("left", empty), F.coalesce("above", empty))
+    total = F.aggregate(known, F.lit(0.0), lambda s, x: s + x)
+    behind = F.coalesce("corner", F.get("above", F.lit(7)), F.lit(128.0))
+    df = df.withColumns({"mean": F.when(F.size(known) > 0, total / F.size(known)).otherwise(128.0), "left": F.coalesce("left", none), "above": F.coalesce("above", none), "corner": behind})
     place = F.sequence(F.lit(0), F.lit(63))
     row, col = (lambda i: F.floor(i / 8).cast("int")), (lambda i: (i % 8).cast("int"))
+    along = lambda i: row(i) + col(i) + 1
     predictions = [
-        F.transform(place, lambda i: mean),
+        F.transform(place, lambda i: F.col("mean")),
         F.transform(place, lambda i: F.get("left", row(i))),
         F.transform(place, lambda i: F.get("above", col(i))),
-        F.transform(place, lambda i: (F.get("left", row(i)) + F.get("above", col(i))) / 2),
+        F.transform(place, lambda i: F.when(along(i) < 8, F.get("above", along(i))).otherwise(F.col("corner"))),
     ]
     best = F.least(*(F.struct(sad(F.col("a"), p).alias("sad"), F.lit(m).cast("long").alias("mode")) for m, p in enumerate(predictions)))
     return df.select(*keys, "bx", "by", best.alias("b")).select(*keys, "bx", "by", "b.mode", "b.sad")

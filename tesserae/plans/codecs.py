@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quant
-from ..operators import codec, containers, tiles
+from ..operators import codec, containers, intra, sweeps, tiles
 from ..operators.coders import CODERS, huffman
 from ..session import table
 from ..streaming import rate
@@ -38,8 +38,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
-    luma = F.transform(F.sequence(F.lit(0), F.lit(_SIDE * _SIDE - 1)), lambda i: quant.quantize(F.get("rgb", i * 3) - 128, 6.0, 0.75).cast("int"))
-    return f.select("seq_id", "frame_idx", luma.alias("data"))
+    return f.select("seq_id", "frame_idx", F.transform(_luma(), lambda v: quant.quantize(v - 128, 6.0, 0.75).cast("int")).alias("data"))
+
+
+def _luma():
+    """Every third sample; held, as the samples would be computed anew for each place otherwise."""
+    place = F.sequence(F.lit(0), F.lit(_SIDE * _SIDE - 1))
+    return quant.let(F.col("rgb"), lambda rgb: F.transform(place, lambda i: F.get(rgb, i * 3)))
 
 
 @query()
@@ -109,3 +114,28 @@ def huffman_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame([(key[0], s, freq[s], n) for s, n in enumerate(lengths) if n], columns=["event_type", "m", "n", "bits"])
 
     return counts.groupBy("event_type").applyInPandas(run, "event_type string, m int, n long, bits int")
+
+
+@query()
+def codec_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine moved copies of each label's first frame, coded from both sides."""
+    f = frames(spark, sf_dir).where("frame_idx = 0")
+    moved = F.explode(F.sequence(F.lit(0), F.lit(8)).cast("array<long>")).alias("frame_idx")
+    shifted = F.concat(F.slice("rgb", 3 * F.col("frame_idx") + 1, F.size("rgb")), F.slice("rgb", F.lit(1), 3 * F.col("frame_idx").cast("int")))
+    f = f.select("seq_id", moved, "width", "height", "rgb").withColumn("rgb", shifted)
+    return codec.encode_sequences(f, 75, interval=9, tile=_SIDE).select("seq_id", "frame_idx", "kind", "bytes", F.round("psnr", 4).alias("psnr"))
+
+
+@query()
+def sweep_wavelets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and quality of both wavelets at three steps."""
+    s = sweeps.run(frames(spark, sf_dir), "wavelet", _SIDE)
+    return s.select("settings", "frames", F.round("bpp", 6).alias("bpp"), F.round("psnr", 4).alias("psnr"))
+
+
+@query()
+def intra_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean magnitude of every tile before and after prediction from its neighbours."""
+    p = intra.predicted(frames(spark, sf_dir).select("seq_id", "frame_idx", _luma().alias("data")), _SIDE)
+    mean = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size(c), 6)
+    return p.select("seq_id", "frame_idx", mean("data").alias("before"), mean("residual").alias("after"), F.array_size(F.array_distinct("modes")).alias("modes"))

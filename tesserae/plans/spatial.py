@@ -285,9 +285,8 @@ def motion_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH b AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS bx, list(v + 128 ORDER BY y, x) AS a FROM {SAMPLES} GROUP BY 1, 2),
 n AS (SELECT b.*, p.a AS l FROM b LEFT JOIN b p ON p.label = b.label AND p.bx = b.bx - 1),
 s AS (SELECT label, bx, a, CASE WHEN l IS NULL THEN list_transform(range(8), lambda r: 128.0) ELSE list_transform(range(8), lambda r: l[r * 8 + 8]) END AS e FROM n),
-c AS (SELECT label, bx, list_sum([abs(a[i + 1] - (list_sum(e) + 1024) / 16) for i in range(64)]) AS c0, list_sum([abs(a[i + 1] - e[i // 8 + 1]) for i in range(64)]) AS c1,
- list_sum([abs(a[i + 1] - 128) for i in range(64)]) AS c2, list_sum([abs(a[i + 1] - (e[i // 8 + 1] + 128) / 2) for i in range(64)]) AS c3 FROM s)
-SELECT label, bx, CASE WHEN c0 <= c1 AND c0 <= c2 AND c0 <= c3 THEN 0 WHEN c1 <= c2 AND c1 <= c3 THEN 1 WHEN c2 <= c3 THEN 2 ELSE 3 END::BIGINT AS mode, round(least(c0, c1, c2, c3), 6) AS sad FROM c""")
+c AS (SELECT label, bx, list_sum([abs(a[i + 1] - list_sum(e) / 8) for i in range(64)]) AS c0, list_sum([abs(a[i + 1] - e[i // 8 + 1]) for i in range(64)]) AS c1, list_sum([abs(a[i + 1] - 128) for i in range(64)]) AS c2 FROM s)
+SELECT label, bx, CASE WHEN c0 <= c1 AND c0 <= c2 THEN 0 WHEN c1 <= c2 THEN 1 ELSE 2 END::BIGINT AS mode, round(least(c0, c1, c2), 6) AS sad FROM c""")
 def intra_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best prediction of each block from its left neighbour in a row of blocks; nothing stands above, which counts as 128."""
     w = Window.partitionBy("label").orderBy("vec_id")

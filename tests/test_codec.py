@@ -45,6 +45,43 @@ def test_predicted_frames():
         assert codec.psnr(a, b) > 40
 
 
+def test_frames_between():
+    frames = [np.roll(CHECKER, i, 1) for i in range(9)]
+    blobs = codec.encode_pyramid(frames, codec.settings(75, W, H, 64))
+    assert [containers.read_frame(b)[0].kind for b in blobs] == ["I", *"BBBBBBB", "P"]
+    assert containers.read_frame(blobs[3])[0].refs == (2, 4)
+    for a, b in zip(frames, codec.decode_pyramid(blobs), strict=True):
+        assert codec.psnr(a, b) > 36
+
+
+def test_intra_inverts():
+    from tesserae.operators import intra
+
+    for plane in (CHECKER[:64, :96, 0], GRADIENT[:64, :96, 2], np.zeros((32, 32))):
+        residual, modes = intra.predict(plane)
+        assert np.abs(intra.reconstruct(residual, modes) - plane).max() < 1e-9
+
+
+@pytest.mark.parametrize("coder", ["rans", "rans_bands", "huffman", "bitplane"])
+def test_first_layout(coder):
+    """A frame of the first layout, made from a new one by leaving out what it lacks."""
+    f = codec.encode_planes(codec.color(CHECKER, False), codec.settings(75, W, H, 64, coder=coder))
+    new = containers.write_frame(f)
+    behind = len(new) - sum(map(len, f.tiles)) - 8 * len(f.tiles) - 8
+    old = b"GPC8" + new[4:34] + new[36 : behind - 2] + new[behind : behind + 8] + b"".join(f.tiles)
+    assert containers.read_frame(old)[0].tiles == f.tiles
+
+
+def test_sweeps(spark):
+    from tesserae.operators import sweeps
+
+    frames = spark.createDataFrame([(0, 0, W, H, CHECKER.ravel().tolist())], "seq_id long, frame_idx long, width int, height int, rgb array<double>")
+    got = {r.settings: r for r in sweeps.run(frames, "dead_zone", 64).collect()}
+    assert len(got) == 10
+    assert got['{"dead_zone": 0.0, "step": 4.0}'].psnr > got['{"dead_zone": 1.0, "step": 8.0}'].psnr
+    assert sweeps.throughput(lambda: codec.encode_frame(CHECKER, codec.settings(50, W, H, 64)), W * H, 1)["fps"] > 0
+
+
 def test_frame_fields_come_back():
     f = containers.Frame(
         64, 64, tile=32, step=3.5, levels=2, weights=[1.0, 1.5, 1.5, 2.0, 1.0, 1.0, 1.25], kind="B", block=16, vectors=[(i - 8, 3 * i % 7 - 3) if i % 3 else (0, 0) for i in range(16)],
