@@ -34,7 +34,7 @@ from .files import Output, open_input
 
 MAGIC = b"TIDZ0001"
 END_ID = 1
-#: The dictionary is trained on about so many documents, chosen by their hash among those of at most so many characters.
+#: The dictionary is trained on about so many documents, chosen by the hash of doc_id, of which those of at most so many characters count.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
 DICTIONARY_BYTES = 32_768
 LEVEL = 3
@@ -116,11 +116,11 @@ def _ids(data: str, texts: list[str | None]) -> Iterator[np.ndarray]:
 
 def train(docs: DataFrame, tokenizer: str, width: int) -> bytes:
     """A dictionary from the serialized ids of the documented sample; empty if there is too little to learn from."""
-    fit = docs.where(F.length("text") <= SAMPLE_CHARS)
-    n = fit.count()
+    n = docs.count()
     if n > SAMPLE_ROWS:
-        fit = fit.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < (SAMPLE_ROWS << 40) // n)
-    texts = [r.text for r in fit.select("text").collect()]
+        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (SAMPLE_ROWS << 40) // n)
+    # ids may repeat, so the sample is bounded besides
+    texts = [r.text for r in docs.where(F.length("text") <= SAMPLE_CHARS).select("text").limit(4 * SAMPLE_ROWS).collect()]
     samples = [x.astype(f"<u{width}").tobytes() for x in _ids(tokenizer, texts)]
     if len(samples) < 100:
         return b""
