@@ -21,6 +21,8 @@ from .common import table
 #: Characters on either side that are searched for context words.
 CONTEXT = 40
 THRESHOLD = 0.8
+#: Fewest characters of a match by kind: so many neighbours may lie in a context.
+SHORTEST = {"email": 5, "ip": 7, "card": 2, "phone": 3, "iban": 12, "ssn": 11}
 #: Matches whose offsets are summed in one fold.
 FOLD = 256
 
@@ -109,15 +111,30 @@ def _starts(lens: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), last), block))
 
 
-def _spans_of(kind: str, parts: Column, found: Column) -> Column:
-    """array<struct<kind, start, end, score>> from the texts between matches and the matches, with validation."""
+def _sides(parts: Column, found: Column) -> tuple[Column, Column]:
+    """For each match, the last CONTEXT characters of it and the text between it and the match before; the first ones of it and the text up to the next match."""
+    n = F.size(found)
+    before = F.zip_with(F.slice(parts, F.lit(1), n), found, lambda p, m: F.right(F.concat(p, m), F.lit(CONTEXT)))
+    after = F.zip_with(found, F.slice(parts, F.lit(2), n), lambda m, p: F.left(F.concat(m, p), F.lit(CONTEXT)))
+    return before, after
+
+
+def _spans_of(kind: str, parts: Column, found: Column, before: Column, after: Column) -> Column:
+    """array<struct<kind, start, end, score>> from the texts between matches, the matches and their _sides, with validation.
+
+    The context is CONTEXT characters of the text on either side, whatever other matches lie in it.
+    """
+    most = -(-CONTEXT // SHORTEST[kind])
     lens = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
     # a match starts after all earlier texts and matches, and the text right before it
     starts = F.zip_with(_starts(lens), F.slice(parts, F.lit(1), F.size(found)), lambda s, p: s + F.length(p))
 
     def one(m: Column, i: Column) -> Column:
         start = F.get(starts, i)
-        near = F.concat(F.right(F.get(parts, i), F.lit(CONTEXT)), F.lit("\n"), F.left(F.get(parts, i + 1), F.lit(CONTEXT)))
+        first = F.greatest(i - most, F.lit(0))
+        left = F.concat(F.array_join(F.slice(before, first + 1, i - first), ""), F.get(parts, i))
+        right = F.concat(F.get(parts, i + 1), F.array_join(F.slice(after, i + 2, F.lit(most)), ""))
+        near = F.concat(F.right(left, F.lit(CONTEXT)), F.lit("\n"), F.left(right, F.lit(CONTEXT)))
         score = 0.4 + (0.4 if kind in _CHECKSUM else 0.0) + F.when(near.rlike(f"(?i)({KINDS[kind][2]})"), 0.4).otherwise(0.0)
         return F.struct(
             F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), F.least(score, F.lit(1.0)).alias("score"), VALID[kind](m).alias("ok")
@@ -145,13 +162,15 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         cols[f"_pii_found_{k}"] = F.when(has, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
         cols[f"_pii_parts_{k}"] = F.when(has, F.split(t, pattern, -1)).otherwise(none)
     df = df.withColumns(cols)
+    sides = {k: _sides(F.col(f"_pii_parts_{k}"), F.col(f"_pii_found_{k}")) for k in KINDS}
+    df = df.withColumns({f"_pii_{x}_{k}": c for k, both in sides.items() for x, c in zip(("before", "after"), both, strict=True)})
     df = df.withColumns(
         {
-            f"_pii_{k}": F.when(F.size(f"_pii_found_{k}") > 0, _spans_of(k, F.col(f"_pii_parts_{k}"), F.col(f"_pii_found_{k}"))).otherwise(F.array().cast(_SPAN))
+            f"_pii_{k}": F.when(F.size(f"_pii_found_{k}") > 0, _spans_of(k, *(F.col(f"_pii_{x}_{k}") for x in ("parts", "found", "before", "after")))).otherwise(F.array().cast(_SPAN))
             for k in KINDS
         }
     )
-    return df.drop(*(f"_pii_{x}_{k}" for x in ("has", "found", "parts") for k in KINDS))
+    return df.drop(*(f"_pii_{x}_{k}" for x in ("has", "found", "parts", "before", "after") for k in KINDS))
 
 
 def _written(spans: list[Column]) -> Column:

@@ -174,6 +174,23 @@ def test_pii_against_brute_force(spark, edge_docs, no_docs):
     assert pii.redact(edge_docs).columns == edge_docs.columns
 
 
+def test_pii_context_reaches_over_matches(spark):
+    """The context is 40 characters of the text on either side, whatever other matches lie in it."""
+    texts = [
+        "SSN: 123-45-6789, 234-56-7890", "123-45-6789, 234-56-7890 (SSN)", "SSN: 000-45-6789 234-56-7890", "SSN: 123-45-6789, 234-56-7890, 345-67-8901, 456-78-9012",
+        "SSN" + " " * 37 + "123-45-6789", "SSN" + " " * 38 + "123-45-6789", "SSN 123-45-6789" + "x" * 25 + "234-56-7890", "SSN 123-45-6789" + "x" * 26 + "234-56-7890", "123-45-6789123-45-6789 ssn", "part 123-45-6789, 234-56-7890",
+    ]
+    words = re.compile(pii.KINDS["ssn"][2], re.I)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        found = [m for m in re.finditer(pii.KINDS["ssn"][0], t) if not re.search("^(000|666|9)|-00-|0000$", m[0])]
+        want[i] = [f"ssn:{m.start()}:{m.end()}" for m in found if words.search(t[max(0, m.start() - 40) : m.start()] + "\n" + t[m.end() : m.end() + 40])]
+    assert {r.doc_id: [s for s in r.spans.split(",") if s.startswith("ssn")] for r in pii.find(df).collect()} == want
+    assert [len(want[i]) for i in range(10)] == [2, 2, 1, 3, 1, 0, 2, 1, 2, 0]
+    assert pii.redact(df).where("doc_id = 0").first().text == "SSN: [SSN], [SSN]"
+
+
 def test_seeds_hit_every_pattern():
     """13 aligned words of which any two differ share a masked window."""
     for gone in itertools.combinations(range(13), 2):
