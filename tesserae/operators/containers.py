@@ -325,7 +325,7 @@ def tail_of(index: DataFrame) -> DataFrame:
     return index.where(F.col("role") == "tail").orderBy("pts")
 
 
-def index_of_blobs(blobs: DataFrame, order: str = "pts") -> DataFrame:
-    """(pts, kind, size, offset): the index of a sequence file of blobs (pts, kind, blob), without gathering them."""
-    sized = blobs.select(order, "kind", F.octet_length("blob").cast("long").alias("size"))
-    return offsets(sized, order, "size", SEQUENCE_HEADER, SEQUENCE_ENTRY)
+def index_of_blobs(blobs: DataFrame, order: str = "pts", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, pts, kind, size, offset): the index of a sequence file of blobs (keys, pts, kind, blob) for each of keys, without gathering them."""
+    sized = blobs.select(*keys, order, "kind", F.octet_length("blob").cast("long").alias("size"))
+    return offsets(sized, order, "size", SEQUENCE_HEADER, SEQUENCE_ENTRY, keys)

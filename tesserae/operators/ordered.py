@@ -76,21 +76,21 @@ def cut_groups(df: DataFrame, keys: list[str], size: int, threshold: float, valu
     return out.select(*keys, "gop", "cut", F.when(F.col("cut"), F.lit(size)).otherwise(1).cast("long").alias("iframes"))
 
 
-def offsets(df: DataFrame, order: str, size: str, header: int, entry: int) -> DataFrame:
-    """Adds offset: where each blob begins in a file of a header, an index entry for each blob and the blobs in order.
+def offsets(df: DataFrame, order: str, size: str, header: int, entry: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds offset: where each blob begins in a file of a header, an index entry for each blob and the blobs in order; a file for each of keys.
 
     Range partitions are summed first, and a window over that small table gives each partition's start, so that the
     running sum within a partition is all that a task does.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
-    sums = parted.groupBy("_part").agg(F.sum(size).alias("_sum"), F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    own = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parted = df.repartitionByRange(n, *keys, order).withColumn("_part", F.spark_partition_id())
+    sums = parted.groupBy(*keys, "_part").agg(F.sum(size).alias("_sum"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    own = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     first = F.lit(header) + F.lit(entry) * F.col("_all") + F.col("_before")
-    out = parted.join(F.broadcast(starts), "_part")
+    out = parted.join(F.broadcast(starts), [*keys, "_part"])
     return out.withColumn("offset", (first + F.coalesce(F.sum(size).over(own), F.lit(0))).cast("long")).drop("_part", "_before", "_all")
 
 

@@ -86,9 +86,9 @@ def codec_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def container_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of a sequence file of each first label's frames."""
-    coded = codec.encode(frames(spark, sf_dir).where("seq_id = 0"), 75, _SIDE)
-    return containers.index_of_blobs(coded.select(F.col("frame_idx").alias("pts"), F.lit("I").alias("kind"), "blob"))
+    """The index of a sequence file of every label's frames."""
+    coded = codec.encode(frames(spark, sf_dir), 75, _SIDE)
+    return containers.index_of_blobs(coded.select("seq_id", F.col("frame_idx").alias("pts"), F.lit("I").alias("kind"), "blob"), keys=("seq_id",))
 
 
 @query()
@@ -118,12 +118,8 @@ def huffman_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def codec_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nine moved copies of each label's first frame, coded from both sides."""
-    f = frames(spark, sf_dir).where("frame_idx = 0")
-    moved = F.explode(F.sequence(F.lit(0), F.lit(8)).cast("array<long>")).alias("frame_idx")
-    shifted = F.concat(F.slice("rgb", 3 * F.col("frame_idx") + 1, F.size("rgb")), F.slice("rgb", F.lit(1), 3 * F.col("frame_idx").cast("int")))
-    f = f.select("seq_id", moved, "width", "height", "rgb").withColumn("rgb", shifted)
-    return codec.encode_sequences(f, 75, interval=9, tile=_SIDE).select("seq_id", "frame_idx", "kind", "bytes", F.round("psnr", 4).alias("psnr"))
+    """Every label's frames in groups of nine, coded from both sides; the last group of a label may have fewer."""
+    return codec.encode_sequences(frames(spark, sf_dir), 75, interval=9, tile=_SIDE).select("seq_id", "frame_idx", "kind", "bytes", F.round("psnr", 4).alias("psnr"))
 
 
 @query()

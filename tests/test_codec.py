@@ -151,3 +151,20 @@ def test_settings_follow_the_table():
     f = codec.settings(80, W, H)
     assert (round(f.step, 4), f.levels, f.wavelet) == (3.3466, 4, "9/7")
     assert codec.lossless(replace(f, step=1.0, dead_zone=0.0, wavelet="5/3"))
+
+
+def test_queries_cover_every_frame(spark, sf_dir):
+    from tesserae.operators import containers
+    from tesserae.plans import codecs
+
+    want = {(r.seq_id, r.frame_idx) for r in codecs.frames(spark, sf_dir).collect()}
+    index = codecs.container_index(spark, sf_dir).collect()
+    assert {(r.seq_id, r.pts) for r in index} == want and len(index) == len(want)
+    for seq in {s for s, _ in want}:
+        own = sorted((r.pts, r.offset, r.size) for r in index if r.seq_id == seq)
+        at = containers.SEQUENCE_HEADER + containers.SEQUENCE_ENTRY * len(own)
+        for _, offset, size in own:
+            assert offset == at
+            at += size
+    coded = codecs.codec_pyramid(spark, sf_dir).collect()
+    assert {(r.seq_id, r.frame_idx) for r in coded} == want and len(coded) == len(want)
