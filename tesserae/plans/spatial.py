@@ -36,6 +36,18 @@ def hadamard4_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("vec_id", (F.col("p") % 4).cast("long").alias("x"), F.floor(F.col("p") / 4).alias("y"), r6(F.col("c"), "c"))
 
 
+_FOURS = f"(SELECT vec_id * 4 + y // 4 * 2 + x // 4 AS vec_id, x % 4 AS x, y % 4 AS y, v FROM {SAMPLES})"
+
+
+@query(f'SELECT vec_id // 4 AS vec_id, vec_id % 2 AS bx, vec_id % 4 // 2 AS "by", x, y, round(c, 6) + 0.0 AS c FROM {_both_ways(_FOURS, 4, _H)}')
+def hadamard4_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four 4x4 blocks (bx, by) of every 8x8 block; hadamard4_block has the first alone."""
+    four = lambda bx, by: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda r: F.slice("a", (r + 4 * by) * 8 + 4 * bx + 1, F.lit(4))))
+    each = F.inline(F.array(*(F.struct(F.lit(bx).cast("long").alias("bx"), F.lit(by).cast("long").alias("by"), four(bx, by).alias("f")) for by in (0, 1) for bx in (0, 1))))
+    a = blocks(spark, sf_dir).select("vec_id", each).select("vec_id", "bx", "by", F.posexplode(transforms.hadamard4(F.col("f"))).alias("p", "c"))
+    return a.select("vec_id", "bx", "by", (F.col("p") % 4).cast("long").alias("x"), F.floor(F.col("p") / 4).alias("y"), r6(F.col("c"), "c"))
+
+
 _BAND = "CASE WHEN x >= 4 AND y >= 4 THEN 3 WHEN x >= 4 THEN 2 WHEN y >= 4 THEN 1 WHEN x >= 2 AND y >= 2 THEN 6 WHEN x >= 2 THEN 5 WHEN y >= 2 THEN 4 ELSE 0 END"
 _GROUP = "CASE WHEN x >= 4 AND y >= 4 THEN 3 WHEN x >= 4 OR y >= 4 THEN 2 WHEN x >= 2 OR y >= 2 THEN 1 ELSE 0 END"
 

@@ -134,3 +134,10 @@ def test_controller():
     assert c.alpha == pytest.approx(1.0) and c.c == pytest.approx(4.0) and len(c.history) == 30
     full = Controller(50.0, 10, 10, "cbr", fill=50.0)
     assert full.step() < Controller(50.0, 10, 10, "cbr").step()
+
+
+def test_hadamard_covers_every_sample(spark, sf_dir):
+    from tesserae.plans import catalogue, registry
+
+    got = catalogue.QUERIES["hadamard4_plane"](spark, sf_dir)
+    assert got.count() == got.select("vec_id", "bx", "by", "x", "y").distinct().count() == registry.samples(spark, sf_dir).count()
