@@ -76,6 +76,15 @@ def symbol_of_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy.symbol_lookup(slots, cum, ["label", "grp"]).select("label", "grp", "slot", "symbol")
 
 
+@query(f"""WITH c AS (SELECT *, coalesce(sum(freq) OVER (PARTITION BY label, grp ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM {_NORM})
+SELECT label, grp, slot, symbol FROM c JOIN (SELECT unnest(range(0, 4096)) AS slot) ON slot >= cum AND slot < cum + freq""")
+def symbol_of_every_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 4096 slots of each label and group; symbol_of_slot has every 64th."""
+    cum = cumulative_frequency(spark, sf_dir)
+    slots = cum.select("label", "grp").distinct().select("label", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4095).cast("long"))).alias("slot"))
+    return entropy.symbol_lookup(slots, cum, ["label", "grp"]).select("label", "grp", "slot", "symbol")
+
+
 _H2 = "CASE WHEN {p} <= 0 OR {p} >= 1 THEN 0 ELSE -({p} * log2({p}) + (1 - {p}) * log2(1 - {p})) END"
 
 

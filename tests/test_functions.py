@@ -141,3 +141,10 @@ def test_hadamard_covers_every_sample(spark, sf_dir):
 
     got = catalogue.QUERIES["hadamard4_plane"](spark, sf_dir)
     assert got.count() == got.select("vec_id", "bx", "by", "x", "y").distinct().count() == registry.samples(spark, sf_dir).count()
+
+
+def test_every_slot_is_looked_up(spark, sf_dir):
+    from tesserae.plans import catalogue
+
+    slots = catalogue.QUERIES["symbol_of_every_slot"](spark, sf_dir).groupBy("label", "grp").agg(F.countDistinct("slot").alias("n"), F.count("*").alias("rows")).collect()
+    assert {(r.n, r.rows) for r in slots} == {(4096, 4096)}
