@@ -102,6 +102,49 @@ def test_similar_groups(spark, edge_docs, no_docs):
     assert similar.keep_one(no_docs).count() == 0
 
 
+def _at_threshold(rng, kind, n, name):
+    """Two texts of n words and more, whose five-word shingles have a similarity of 0.8 or little more; one contiguous edit apart."""
+    words = [f"{name}w{x}" for x in rng.integers(0, 1 << 30, n)]
+    shingles = n - 4
+    if kind == "cut":
+        return words, words[: n - shingles // 5]
+    if kind == "added":
+        return words, [*words, *(f"{name}n{i}" for i in range(shingles // 4))]
+    gone = max(1, shingles // 9 - 4)  # kills gone + 4 shingles within the text
+    at = int(rng.integers(5, n - gone - 5))
+    return words, [*words[:at], *(f"{name}n{i}" for i in range(gone)), *words[at + gone :]]
+
+
+def test_similar_contiguous_edits(spark):
+    rng, docs = np.random.default_rng(12), []
+    for kind, n in [("cut", 300), ("added", 300), ("replaced", 300), ("cut", 24), ("added", 24), ("cut", 9), ("added", 8)]:
+        for k in range(60):
+            docs += [(kind, n, " ".join(t)) for t in _at_threshold(rng, kind, n, f"{kind}{n}x{k}")]
+    for (_, _, a), (_, _, b) in zip(docs[::2], docs[1::2], strict=True):
+        s, t = (set(zip(*(x.split()[i:] for i in range(5)), strict=False)) for x in (a, b))
+        assert 0.8 * len(s | t) <= len(s & t) < 0.83 * len(s | t)
+    more = [(i, " ".join(f"u{x}" for x in rng.integers(0, 1 << 30, 60))) for i in range(len(docs), 10_000)]  # the number of documents decides the masks
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(docs)] + more, "doc_id long, text string")
+    got = {r.id: r.root for r in similar.groups(df).collect()}
+    found = {}
+    for i in range(0, len(docs), 2):
+        found.setdefault(docs[i][:2], []).append(got[i] == got[i + 1])
+    assert all(all(v) for (_, n), v in found.items() if n < 50), found
+    assert all(np.mean(v) >= 0.9 for v in found.values()), found
+    assert np.mean([x for (_, n), v in found.items() if n == 300 for x in v]) >= 0.94, found
+    assert all(got[i] == i for i, _ in more)
+
+
+def test_short_keys_meet():
+    """Whatever two short sets of similarity 0.8 are, their keys have one in common."""
+    rng = np.random.default_rng(2)
+    for n in (1, 4, 5, 9, 20, 40):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 30, n + 4)]
+        a, b = similar.short_keys(" ".join(words)), similar.short_keys(" ".join([*words, *(f"n{i}" for i in range(n // 4))]))
+        assert np.intersect1d(a, b).size
+    assert not similar.short_keys(" ".join(f"w{i}" for i in range(300))).size and not similar.short_keys(None).size
+
+
 def test_lattice_points():
     rng = np.random.default_rng(5)
     near = lattice.minimal_vectors()
