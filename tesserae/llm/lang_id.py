@@ -114,8 +114,11 @@ class Model:
         return np.maximum(out - out.max(axis=1, keepdims=True), FLOOR)
 
     def paths(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The language number of every word of all texts, and each text's first word: Viterbi over all texts side by side."""
-        distinct, codes, offsets = words_of(texts)
+        """The language number of every word of all texts, and each text's first word."""
+        return self._paths(*words_of(texts))
+
+    def _paths(self, distinct: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi over all texts side by side."""
         lens = np.diff(offsets)
         labels = np.zeros(len(codes), np.int64)
         if not len(codes):
@@ -124,7 +127,7 @@ class Model:
         order = np.argsort(-lens, kind="stable")
         first, lens = offsets[:-1][order], lens[order]
         active = np.searchsorted(-lens, -np.arange(lens[0]), "left")  # texts of more than t words
-        v, back, state = e[codes[first[: active[0]]]], [], np.zeros(len(texts), np.int64)
+        v, back, state = e[codes[first[: active[0]]]], [], np.zeros(len(lens), np.int64)
         for t in range(1, lens[0]):
             n = active[t]
             if n < len(v):
@@ -145,17 +148,25 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; und and 0 for a text without a letter, or if no language is known."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language and score of each text, and the share of its words that some language's scripts allow; und and zeros as in predict."""
         if not self.langs:
-            return [_NONE] * len(texts), [0.0] * len(texts)
-        labels, offsets = self.paths(texts)
+            return [_NONE] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        distinct, codes, offsets = words_of(texts)
+        labels, _ = self._paths(distinct, codes, offsets)
         n = len(self.langs)
         text = np.repeat(np.arange(len(texts)), np.diff(offsets))
         share = np.bincount(text * n + labels, minlength=n * len(texts)).reshape(len(texts), n)
         total = share.sum(axis=1)
         best = share.argmax(axis=1)
+        can = self.uses[scripts_of(distinct)].any(axis=1)
+        known = np.bincount(text, can[codes].astype(float), len(texts))
         return (
             [self.langs[b] if k else _NONE for b, k in zip(best, total, strict=True)],
             [float(share[i, b] / k) if k else 0.0 for i, (b, k) in enumerate(zip(best, total, strict=True))],
+            [float(x / k) if k else 0.0 for x, k in zip(known, total, strict=True)],
         )
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
@@ -226,9 +237,9 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with _lang (the predicted language) and _score (0 to 1) added; only text is an input.
+    """All columns of docs with _lang (the predicted language), _score and _known (0 to 1) added; only text is an input.
 
-    Null texts and texts without a letter get und and 0. Repeated rows each come back.
+    _known is the share of words in a script that a learned language uses. Null texts and texts without a letter get und and zeros. Repeated rows each come back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields]
@@ -236,15 +247,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, scores = batch.column(text).to_pylist(), [], []
+            texts, langs, scores, known = batch.column(text).to_pylist(), [], [], []
             for a, z in _groups(texts):
-                got = shared.value.predict(texts[a:z])
+                got = shared.value.judge(texts[a:z])
                 langs += got[0]
                 scores += got[1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang", "_score"])
+                known += got[2]
+            added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "_lang", "_score", "_known"])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(tidy(run), ", ".join([*fields, "_lang string", "_score double"]))
+    return docs.mapInArrow(tidy(run), ", ".join([*fields, "_lang string", "_score double", "_known double"]))
 
 
 def label_spans(docs: DataFrame, model: Model) -> DataFrame:
