@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import quant
-from ..operators import codec, containers, intra, sweeps, tiles
+from ..operators import codec, containers, intra, matching, sweeps, tiles
 from ..operators.coders import CODERS, huffman
 from ..session import table
 from ..streaming import rate
@@ -122,6 +122,15 @@ def codec_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.encode_sequences(frames(spark, sf_dir), 75, interval=9, tile=_SIDE).select("seq_id", "frame_idx", "kind", "bytes", F.round("psnr", 4).alias("psnr"))
 
 
+@query()
+def block_match_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Move of each 8x8 block of every frame into the label's frame before, by a coarse and a fine search."""
+    luma = frames(spark, sf_dir).select("seq_id", "frame_idx", F.posexplode(_luma()).alias("p", "v"))
+    planes = luma.select("seq_id", "frame_idx", (F.col("p") % _SIDE).cast("long").alias("x"), F.floor(F.col("p") / _SIDE).alias("y"), "v")
+    before = planes.withColumn("frame_idx", F.col("frame_idx") + 1)
+    return matching.two_stage(planes.where("frame_idx > 0"), before, ["seq_id", "frame_idx"], 8, coarse=24)
+
+
 @query()
 def sweep_wavelets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate and quality of both wavelets at three steps."""

@@ -150,6 +150,19 @@ def block_match_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.groupBy("vec_id").agg(F.min_by("ref", F.struct("sad", "ref")).alias("ref"), r6(F.min("sad"), "sad"))
 
 
+_NEAREST = "(SELECT a.vec_id, b.vec_id AS ref, round(sum(abs(a.v - b.v)), 6) AS sad FROM {s} a JOIN {s} b ON a.x = b.x AND a.y = b.y AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 GROUP BY 1, 2)"
+
+
+@query(f"SELECT vec_id, ref, sad FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sad, ref) AS r FROM {_NEAREST.format(s=SAMPLES)}) WHERE r = 1")
+def block_match_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest of all other blocks for every twentieth block, by summed differences; block_match_argmin has every twentieth block as candidates."""
+    b = blocks(spark, sf_dir)
+    asked = b.where("vec_id % 20 = 0").select("vec_id", F.col("a").alias("q"))
+    ref = b.select(F.col("vec_id").alias("ref"), "a")
+    costs = ref.crossJoin(F.broadcast(asked)).where("vec_id <> ref").select("vec_id", "ref", F.round(matching.sad(F.col("q"), F.col("a")), 6).alias("sad"))
+    return costs.groupBy("vec_id").agg(F.min(F.struct("sad", "ref")).alias("m")).select("vec_id", "m.ref", r6(F.col("m.sad"), "sad"))
+
+
 _TRIPLE = f"""(SELECT vec_id, sum(abs(v - f)) AS fwd, sum(abs(v - b)) AS bwd, sum(abs(v - (f + b) / 2)) AS mean FROM
 (SELECT vec_id, v, lag(v) OVER w AS f, lead(v) OVER w AS b FROM {SAMPLES} WINDOW w AS (PARTITION BY x, y ORDER BY vec_id)) WHERE f IS NOT NULL AND b IS NOT NULL GROUP BY 1)"""
 

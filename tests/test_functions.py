@@ -148,3 +148,36 @@ def test_every_slot_is_looked_up(spark, sf_dir):
 
     slots = catalogue.QUERIES["symbol_of_every_slot"](spark, sf_dir).groupBy("label", "grp").agg(F.countDistinct("slot").alias("n"), F.count("*").alias("rows")).collect()
     assert {(r.n, r.rows) for r in slots} == {(4096, 4096)}
+
+
+def test_nearest_of_all_blocks(spark, sf_dir):
+    from tesserae.plans import catalogue, registry
+
+    b = {r.vec_id: np.array(r.a) for r in registry.blocks(spark, sf_dir).collect()}
+    got = {r.vec_id: r.sad for r in catalogue.QUERIES["block_match_nearest"](spark, sf_dir).collect()}
+    want = {i: min(np.abs(a - b[j]).sum() for j in b if j != i) for i, a in b.items() if i % 20 == 0}
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], abs=1e-5) for i in want)
+
+
+def test_two_stage_query_equals_brute_force(spark, sf_dir):
+    from tesserae.plans import catalogue, codecs
+
+    frames = {(r.seq_id, r.frame_idx): np.array(r.rgb).reshape(32, 32, 3)[:, :, 0] for r in codecs.frames(spark, sf_dir).collect()}
+    got = {(r.seq_id, r.frame_idx, r.by, r.bx): (r.dx, r.dy, r.sad) for r in catalogue.QUERIES["block_match_two_stage"](spark, sf_dir).collect()}
+    assert set(got) == {(s, f, i, j) for s, f in frames if f for i in range(4) for j in range(4)}
+
+    def best(cur, ref, x, y, moves, step, bias):
+        costs = []
+        for dx, dy in moves:
+            if 0 <= x + dx and 0 <= y + dy and x + dx + 8 <= 32 + (step - 1) and y + dy + 8 <= 32 + (step - 1):
+                a, b = cur[y : y + 8 : step, x : x + 8 : step], ref[y + dy : y + dy + 8 : step, x + dx : x + dx + 8 : step]
+                if a.shape == b.shape:
+                    sad = np.abs(a - b).sum()
+                    costs.append((sad - (bias if dx == dy == 0 else 0), abs(dx) + abs(dy), dy, dx, sad))
+        return min(costs)
+
+    for (s, f, i, j), (dx, dy, sad) in got.items():
+        cur, ref = frames[s, f], frames[s, f - 1]
+        *_, sy, sx, _ = best(cur, ref, 8 * j, 8 * i, matching.moves(24, 4), 4, 0.0)
+        *_, wy, wx, want = best(cur, ref, 8 * j, 8 * i, [(sx + a, sy + b) for a, b in matching.moves(4)], 1, 16.0)
+        assert (dx, dy, sad) == (wx, wy, want)
