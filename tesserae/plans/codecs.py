@@ -18,16 +18,15 @@ _SIDE = 32
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_id, frame_idx, width, height, rgb): sixteen blocks of one label side by side are a frame."""
+    """(seq_id, frame_idx, width, height, rgb): sixteen blocks of one label side by side are a frame; the last block of a label is repeated to fill its last frame."""
     w = Window.partitionBy("label").orderBy("vec_id")
     e = table(spark, sf_dir, "embeddings").select("label", (F.row_number().over(w) - 1).alias("n"), "embedding")
     at = F.floor(F.col("n") / 16).cast("long")
     g = e.groupBy(F.col("label").cast("long").alias("seq_id"), at.alias("frame_idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "embedding"))), lambda s: s["embedding"]).alias("e"))
-    g = g.where(F.size("e") == 16)
 
     def pixel(i):
         y, x = F.floor(i / _SIDE).cast("int"), (i % _SIDE).cast("int")
-        block = F.get("e", F.floor(y / 8).cast("int") * 4 + F.floor(x / 8).cast("int"))
+        block = F.get("e", F.least(F.floor(y / 8).cast("int") * 4 + F.floor(x / 8).cast("int"), F.size("e") - 1))
         v = F.round(F.get(block, (y % 8) * 8 + x % 8).cast("double") * 100)
         return F.array(v + 128, F.floor(v / 2) + 128, F.lit(128.0))
 

@@ -168,3 +168,17 @@ def test_queries_cover_every_frame(spark, sf_dir):
             at += size
     coded = codecs.codec_pyramid(spark, sf_dir).collect()
     assert {(r.seq_id, r.frame_idx) for r in coded} == want and len(coded) == len(want)
+
+
+def test_frames_hold_every_block(spark, sf_dir):
+    from tesserae.plans import codecs
+
+    vectors = {}
+    for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect():
+        vectors.setdefault(r.label, []).append(np.floor(np.abs(np.array(r.embedding, float) * 100) + 0.5) * np.sign(r.embedding) + 128)
+    got = {(r.seq_id, r.frame_idx): np.array(r.rgb).reshape(32, 32, 3)[:, :, 0] for r in codecs.frames(spark, sf_dir).collect()}
+    assert set(got) == {(s, f) for s, own in vectors.items() for f in range(-(-len(own) // 16))}
+    for (s, f), plane in got.items():
+        for k in range(16):
+            want = vectors[s][min(16 * f + k, len(vectors[s]) - 1)].reshape(8, 8)
+            assert (plane[k // 4 * 8 : k // 4 * 8 + 8, k % 4 * 8 : k % 4 * 8 + 8] == want).all()
