@@ -14,6 +14,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows of one Arrow batch handed to Python: whole texts, so few of them.
 BATCH_ROWS = 1000
@@ -24,6 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until df has no column of the name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_columns_from(df: DataFrame, run: Callable[[Iterator], Iterator], added: dict[str, DataType]) -> DataFrame:
+    """df by a mapInArrow function that gets all columns and returns them by place, and added ones after them. Any column names will do."""
+    own = [StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)]
+    more = [StructField(f"c{len(own) + i}", t) for i, t in enumerate(added.values())]
+    small_batches(df.sparkSession)
+    return df.toDF(*(f.name for f in own)).mapInArrow(run, StructType([*own, *more])).toDF(*df.columns, *added)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows of Arrow batches, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -65,9 +85,12 @@ def tidy(run: Callable[[Iterator], Iterator], key: Any = None) -> Callable[[Iter
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below the shared folder that spark.checkpoint.dir names.
 
-    Only where the setting is absent (tests, one machine) a temporary folder takes its place."""
+    Only where the setting is absent and all tasks run on this machine, as in tests, a temporary folder takes its place."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

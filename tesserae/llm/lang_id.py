@@ -19,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from .common import small_batches, table, tidy
+from .common import small_batches, table, tidy, with_columns_from
 
 #: About so many labelled rows are learned from; all if there are fewer.
 TRAIN_ROWS = 20_000
@@ -236,13 +237,14 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(langs, all_[:BUCKETS], all_[BUCKETS:])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with _lang (the predicted language), _score and _known (0 to 1) added; only text is an input.
+def identify(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("_lang", "_score", "_known")) -> DataFrame:
+    """All columns of docs with _lang (the predicted language), _score and _known (0 to 1) added, by these names; only text is an input.
+
+    docs must have no column of these names (common.unused gives free ones).
 
     _known is the share of words in a script that a learned language uses. Null texts and texts without a letter get und and zeros. Repeated rows each come back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +256,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 scores += got[1]
                 known += got[2]
             added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "_lang", "_score", "_known"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[f"c{i}" for i in range(len(batch.columns) + 3)])
 
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(tidy(run), ", ".join([*fields, "_lang string", "_score double", "_known double"]))
+    return with_columns_from(docs, tidy(run), dict(zip(names, (StringType(), DoubleType(), DoubleType()), strict=True)))
 
 
 def label_spans(docs: DataFrame, model: Model) -> DataFrame:

@@ -147,30 +147,39 @@ def _spans_of(kind: str, parts: Column, found: Column, before: Column, after: Co
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double,ok:boolean>>"
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds, for each kind, a column _pii_<kind>: array of (kind, start, end, score, ok) in code points, end exclusive.
+def with_spans(docs: DataFrame, text: str = "text", prefix: str = "_pii") -> DataFrame:
+    """Adds, for each kind, a column <prefix>_<kind>: array of (kind, start, end, score, ok) in code points, end exclusive.
 
-    Null and empty texts have empty arrays. Other columns, whatever their names, are kept; columns of docs named
-    _pii_* would clash and are replaced.
+    Null and empty texts have empty arrays. Other columns are kept, whatever their names; prefix (free_prefix) must begin none of them.
     """
+    if any(c.lower().startswith(prefix.lower()) for c in docs.columns):
+        raise ValueError(f"columns begin with {prefix}; free_prefix gives one that none does")
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    df = docs.withColumns({f"_pii_has_{k}": t.contains(g) if k == "email" else t.rlike(g) for k, (_, g, _) in KINDS.items()})
+    name = lambda x, k: f"{prefix}_{x}_{k}"
+    df = docs.withColumns({name("has", k): t.contains(g) if k == "email" else t.rlike(g) for k, (_, g, _) in KINDS.items()})
     none = F.array().cast("array<string>")
     cols = {}
     for k, (pattern, _, _) in KINDS.items():
-        has = F.col(f"_pii_has_{k}")
-        cols[f"_pii_found_{k}"] = F.when(has, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
-        cols[f"_pii_parts_{k}"] = F.when(has, F.split(t, pattern, -1)).otherwise(none)
+        has = F.col(name("has", k))
+        cols[name("found", k)] = F.when(has, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)
+        cols[name("parts", k)] = F.when(has, F.split(t, pattern, -1)).otherwise(none)
     df = df.withColumns(cols)
-    sides = {k: _sides(F.col(f"_pii_parts_{k}"), F.col(f"_pii_found_{k}")) for k in KINDS}
-    df = df.withColumns({f"_pii_{x}_{k}": c for k, both in sides.items() for x, c in zip(("before", "after"), both, strict=True)})
+    sides = {k: _sides(F.col(name("parts", k)), F.col(name("found", k))) for k in KINDS}
+    df = df.withColumns({name(x, k): c for k, both in sides.items() for x, c in zip(("before", "after"), both, strict=True)})
     df = df.withColumns(
         {
-            f"_pii_{k}": F.when(F.size(f"_pii_found_{k}") > 0, _spans_of(k, *(F.col(f"_pii_{x}_{k}") for x in ("parts", "found", "before", "after")))).otherwise(F.array().cast(_SPAN))
+            f"{prefix}_{k}": F.when(F.size(name("found", k)) > 0, _spans_of(k, *(F.col(name(x, k)) for x in ("parts", "found", "before", "after")))).otherwise(F.array().cast(_SPAN))
             for k in KINDS
         }
     )
-    return df.drop(*(f"_pii_{x}_{k}" for x in ("has", "found", "parts", "before", "after") for k in KINDS))
+    return df.drop(*(name(x, k) for x in ("has", "found", "parts", "before", "after") for k in KINDS))
+
+
+def free_prefix(docs: DataFrame, prefix: str = "_pii") -> str:
+    """prefix, lengthened until no column of docs begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return prefix
 
 
 def _written(spans: list[Column]) -> Column:
@@ -182,9 +191,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null texts stay null. All columns and rows are kept.
     """
-    none = F.array().cast(_SPAN)
-    df = with_spans(docs, text)
-    spans = F.array_sort(F.transform(F.concat(*(F.col(f"_pii_{k}") for k in KINDS)), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k"))))
+    prefix = free_prefix(docs)
+    df, merged = with_spans(docs, text, prefix), f"{prefix}_all"
+    spans = F.array_sort(F.transform(F.concat(*(F.col(f"{prefix}_{k}") for k in KINDS)), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k"))))
     zero = F.array().cast("array<struct<a:int,b:int,k:string>>")
 
     def merge(acc: Column, s: Column) -> Column:
@@ -194,8 +203,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             F.concat(acc, F.array(s))
         )
 
-    df = df.withColumn("_pii_all", spans).withColumn("_pii_all", F.when(F.size("_pii_all") > 0, F.aggregate(F.col("_pii_all"), zero, merge)).otherwise(zero))
-    t, all_ = F.col(f"`{text}`"), F.col("_pii_all")
+    df = df.withColumn(merged, spans).withColumn(merged, F.when(F.size(merged) > 0, F.aggregate(F.col(merged), zero, merge)).otherwise(zero))
+    t, all_ = F.col(f"`{text}`"), F.col(merged)
 
     def piece(s: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(all_, i - 1)["b"]).otherwise(0)
@@ -203,7 +212,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     tail = F.substr(t, F.get(all_, F.size(all_) - 1)["b"] + 1)
     clean = F.when(F.size(all_) > 0, F.concat(F.array_join(F.transform(all_, piece), ""), tail)).otherwise(t)
-    return df.withColumn(text, clean).drop("_pii_all", *(f"_pii_{k}" for k in KINDS))
+    return df.withColumn(text, clean).drop(merged, *(f"{prefix}_{k}" for k in KINDS))
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -191,22 +192,72 @@ def test_pii_context_reaches_over_matches(spark):
     assert pii.redact(df).where("doc_id = 0").first().text == "SSN: [SSN], [SSN]"
 
 
-def test_seeds_hit_every_pattern():
-    """13 aligned words of which any two differ share a masked window."""
-    for gone in itertools.combinations(range(13), 2):
-        assert any(all(o + i not in gone for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for o in range(13 - len(m) + 1))
+@pytest.mark.parametrize("n", [*range(5, 21), 25])
+def test_seeds_hit_every_pattern(n):
+    """n aligned words of which any fifth differ share a masked window; longer runs hold a shorter one of that share."""
+    masks = decontaminate.SHORT_MASKS if n < decontaminate.OVERLAP else decontaminate.LONG_MASKS
+    ends = 0 if n < decontaminate.OVERLAP else 1  # a run begins and ends with an equal word
+    places = [sum(1 << (o + i) for i, c in enumerate(m) if c == "1") for m in masks for o in range(n - len(m) + 1)]
+    for gone in itertools.combinations(range(ends, n - ends), n // 5):
+        bits = sum(1 << x for x in gone)
+        assert any(not p & bits for p in places)
 
 
-def test_best_run_is_longest():
+def test_best_runs_are_longest():
     rng = np.random.default_rng(8)
-    for _ in range(300):
-        same = rng.random(rng.integers(0, 25)) < 0.7
+    sames = [rng.random(rng.integers(0, 25)) < 0.7 for _ in range(300)]
+    starts, ends = decontaminate.best_runs(np.concatenate(sames), np.concatenate([[0], np.cumsum([len(x) for x in sames])]))
+    for same, s, e in zip(sames, starts, ends, strict=True):
         runs = [(z - a) for a in range(len(same)) for z in range(a + 1, len(same) + 1) if same[a] and same[z - 1] and same[a:z].sum() * 100 >= 80 * (z - a)]
-        s, e = decontaminate.best_run(same)
-        assert e - s == max(runs, default=0)
-
-
-def test_leaks(spark, docs, edge_docs, no_docs, sf_dir):
+        assert e - s == max(runs, default=0) and (e == s or same[s] and same[e - 1])
+
+
+def _all_diagonals(items, texts):
+    """Every leak by all diagonals of all texts and items, without seeds."""
+    out, words = set(), lambda t: decontaminate._WORD.findall((t or "").lower())
+    for t, w in enumerate(map(words, texts)):
+        for i, v in ((i, words(x)) for i, x in items):
+            best, n = None, len(v)
+            for d in range(-n + 1, len(w)) if n >= decontaminate.LEAST_WORDS else ():
+                lo, hi = max(d, 0), min(d + n, len(w))
+                same = np.array([w[k] == v[k - d] for k in range(lo, hi)], bool)
+                s, e = (int(x[0]) for x in decontaminate.best_runs(same, np.array([0, len(same)])))
+                if e > s and (e - s >= min(decontaminate.OVERLAP, n) or same.sum() >= 0.8 * n):
+                    row = (e - s, int(same[s:e].sum()), -(lo + s), -(lo - d + s))
+                    best = max(best or row, row)
+            if best:
+                out.add((t, i, best[0], best[1], -best[2], -best[3]))
+    return out
+
+
+def test_leaks_with_changed_words(monkeypatch):
+    """The seeds find what all diagonals do, whatever words repeat or are replaced, in one step or many."""
+    rng, found = np.random.default_rng(9), 0
+    for trial in range(40):
+        monkeypatch.setattr(decontaminate, "STEP", 1 << 21 if trial % 2 else 50)
+        vocabulary = [f"w{k}" for k in range(rng.integers(2, 60))]
+        items = [(k, " ".join(rng.choice(vocabulary, rng.integers(3, 30)))) for k in range(5)]
+        texts = [None, ""]
+        for _ in range(5):
+            w = list(rng.choice([f"x{j}" for j in range(30)], rng.integers(0, 40)))
+            for _ in range(2):
+                at = int(rng.integers(0, len(w) + 1))
+                w[at:at] = ["other" if rng.random() < 0.15 else x for x in items[rng.integers(5)][1].split()]
+            texts.append(" ".join(w))
+        got, want = set(decontaminate.Block(items).find(*decontaminate.word_hashes(texts))), _all_diagonals(items, texts)
+        assert got == want
+        found += len(want)
+    assert found > 100
+
+
+def test_leaks_of_repeated_words():
+    start = time.monotonic()
+    for item, text, want in [("a " * 10_000, "a " * 100_000, (10_000, 10_000, 0, 0)), ("a b c " * 1000, "c a b " * 40_000, (3000, 3000, 1, 0)), ("a " * 500 + "b " + "a " * 500, "a " * 5000, (1001, 1000, 0, 0))]:
+        assert decontaminate.Block([(7, item)]).find(*decontaminate.word_hashes([text])) == [(0, 7, *want)]
+    assert time.monotonic() - start < 60
+
+
+def test_leaks(spark, docs, edge_docs, no_docs, sf_dir, monkeypatch):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     words = lambda t: decontaminate._WORD.findall((t or "").lower())
     items = {r.item_id: " ".join(words(r.text)) for r in bench.collect()}
@@ -223,6 +274,14 @@ def test_leaks(spark, docs, edge_docs, no_docs, sf_dir):
     kept = decontaminate.clean(edge_docs, odd)
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - 3
     assert decontaminate.leaks(no_docs, odd).count() == 0 and decontaminate.leaks(edge_docs, odd.where("false")).count() == 0
+    # several blocks give the same
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    assert len(list(decontaminate._blocks(bench))) > 3
+    assert want == {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    # rows of one doc_id are judged apart
+    leak = "the quick brown fox jumps over the lazy dog"
+    rows = spark.createDataFrame([(5, leak, 1), (5, "nothing of the kind stands here at all", 2), (6, "nothing of the kind stands here at all", 3), (None, leak, 4), (None, None, 5)], "doc_id long, text string, __leaked long")
+    assert sorted(r["__leaked"] for r in decontaminate.clean(rows, odd).collect()) == [2, 3, 5]
 
 
 def test_licenses(spark, edge_docs, no_docs):
