@@ -297,7 +297,26 @@ def _residual_settings(f: Frame) -> Frame:
     return replace(f, weights=[], chroma_weight=1.0, dead_zone=2 * f.dead_zone, alphas=None, aq=False, weight_map=None)
 
 
-def encode_group(frames: list[np.ndarray], f: Frame, block: int = 8) -> list[bytes]:
+def _predicted(planes: list[np.ndarray], ref: list[np.ndarray], f: Frame, block: int = 8) -> tuple[Frame, list[np.ndarray]]:
+    """A frame predicted from another one's reconstruction, and its own reconstruction."""
+    v = search(padded(planes[0], f.tile), padded(ref[0], f.tile), block, bias=2.0 * block * block / 8)
+    guess = [compensate(p, v, block) for p in ref]
+    g = replace(_residual_settings(f), kind="P", block=block, vectors=[tuple(int(a) for a in m) for m in v.reshape(-1, 2)])
+    coded = encode_planes([p - q for p, q in zip(planes, guess, strict=True)], g)
+    return coded, [p + q for p, q in zip(decode_planes(coded), guess, strict=True)]
+
+
+def _from(f: Frame, valid: list[bool], ref: list[np.ndarray]) -> list[np.ndarray]:
+    """Reconstruction of a predicted frame; its damaged tiles have no residual."""
+    v = np.array(f.vectors).reshape(-1, f.padded_width // f.block, 2)
+    return [p + compensate(r, v, f.block) for p, r in zip(decode_planes(f, valid), ref, strict=True)]
+
+
+def _shown(planes: list[np.ndarray], f: Frame) -> np.ndarray:
+    return np.clip(uncolor(planes, False), 0, (1 << f.bit_depth) - 1)
+
+
+def encode_group(frames: list[np.ndarray], f: Frame) -> list[bytes]:
     """An independent frame and predicted ones, each from the reconstruction of the one before."""
     out, ref = [], None
     for rgb in frames:
@@ -306,11 +325,7 @@ def encode_group(frames: list[np.ndarray], f: Frame, block: int = 8) -> list[byt
             coded = encode_planes(planes, f)
             ref = decode_planes(coded)
         else:
-            v = search(padded(planes[0], f.tile), padded(ref[0], f.tile), block, bias=2.0 * block * block / 8)
-            guess = [compensate(p, v, block) for p in ref]
-            g = replace(_residual_settings(f), kind="P", block=block, vectors=[tuple(int(a) for a in m) for m in v.reshape(-1, 2)])
-            coded = encode_planes([p - q for p, q in zip(planes, guess, strict=True)], g)
-            ref = [p + q for p, q in zip(decode_planes(coded), guess, strict=True)]
+            coded, ref = _predicted(planes, ref, f)
         out.append(write_frame(coded))
     return out
 
@@ -319,12 +334,8 @@ def decode_group(blobs: list[bytes]) -> list[np.ndarray]:
     out, ref = [], None
     for data in blobs:
         f, valid = read_frame(data)
-        planes = decode_planes(f, valid)
-        if f.kind == "P":
-            v = np.array(f.vectors).reshape(-1, f.padded_width // f.block, 2)
-            planes = [p + compensate(r, v, f.block) for p, r in zip(planes, ref, strict=True)]
-        ref = planes
-        out.append(np.clip(uncolor(planes, False), 0, (1 << f.bit_depth) - 1))
+        ref = _from(f, valid, ref) if f.kind == "P" else decode_planes(f, valid)
+        out.append(_shown(ref, f))
     return out
 
 
@@ -356,49 +367,56 @@ def _between(planes: list[np.ndarray], fwd: list[np.ndarray], bwd: list[np.ndarr
     return coded, [p + q for p, q in zip(decode_planes(coded), guess, strict=True)]
 
 
+#: Frames from one anchor to the next where there are frames between them.
+REACH = 8
+
+
 def encode_pyramid(frames: list[np.ndarray], f: Frame) -> list[bytes]:
-    """Nine frames or fewer in display order: the first on its own, the ninth predicted from it, the seven between from coarse to fine.
-    With fewer frames all but the first are predicted one from another."""
-    if len(frames) != 9:
-        return encode_group(frames, f)
+    """Frames in display order: the first on its own, every eighth after it predicted from the one eight before, the seven between from coarse
+    to fine. What is left over is predicted one from another. References are counted from the anchor before."""
     planes = [color(x, False) for x in frames]
     first = encode_planes(planes[0], f)
-    last_blob = encode_group([frames[0], frames[8]], f)[1]
-    out, done = {0: write_frame(first), 8: last_blob}, {0: decode_planes(first)}
-    done[8] = _from(read_frame(last_blob)[0], done[0])
-    for at, a, b in PYRAMID:
-        step = min(MOST_STEP, f.step * (LEAF_STEP if at % 2 else 1.0))
-        coded, done[at] = _between(planes[at], done[a], done[b], replace(f, step=step), (a, b))
-        out[at] = write_frame(coded)
-    return [out[i] for i in range(9)]
-
-
-def _from(f: Frame, ref: list[np.ndarray]) -> list[np.ndarray]:
-    v = np.array(f.vectors).reshape(-1, f.padded_width // f.block, 2)
-    return [p + compensate(r, v, f.block) for p, r in zip(decode_planes(f), ref, strict=True)]
+    out, done = {0: write_frame(first)}, {0: decode_planes(first)}
+    n = len(frames) - 1
+    for anchor in range(0, n // REACH * REACH, REACH):
+        coded, done[anchor + REACH] = _predicted(planes[anchor + REACH], done[anchor], f)
+        out[anchor + REACH] = write_frame(coded)
+        for at, a, b in PYRAMID:
+            step = min(MOST_STEP, f.step * (LEAF_STEP if at % 2 else 1.0))
+            coded, done[anchor + at] = _between(planes[anchor + at], done[anchor + a], done[anchor + b], replace(f, step=step), (a, b))
+            out[anchor + at] = write_frame(coded)
+    for i in range(n // REACH * REACH + 1, n + 1):
+        coded, done[i] = _predicted(planes[i], done[i - 1], f)
+        out[i] = write_frame(coded)
+    return [out[i] for i in range(n + 1)]
 
 
 def decode_pyramid(blobs: list[bytes]) -> list[np.ndarray]:
-    """Frames of encode_pyramid in display order."""
-    if len(blobs) != 9:
-        return decode_group(blobs)
-    coded = [read_frame(b)[0] for b in blobs]
-    done = {0: decode_planes(coded[0])}
-    done[8] = _from(coded[8], done[0])
-    for at, _, _ in PYRAMID:
-        f = coded[at]
-        across = f.padded_width // f.block
-        va, vb = (np.array(v).reshape(-1, across, 2) for v in (f.vectors, f.back_vectors))
-        modes = np.array(f.modes).reshape(-1, across)
-        a, b = (done[r] for r in f.refs)
-        guess = [_mixed(compensate(p, va, f.block), compensate(q, vb, f.block), modes, f.block) for p, q in zip(a, b, strict=True)]
-        done[at] = [p + q for p, q in zip(decode_planes(f), guess, strict=True)]
-    return [np.clip(uncolor(done[i], False), 0, (1 << coded[0].bit_depth) - 1) for i in range(9)]
+    """Frames of encode_pyramid in display order; damaged tiles have no residual."""
+    coded = [read_frame(b) for b in blobs]
+    done = {0: decode_planes(*coded[0])}
+    anchor = 0
+    while anchor + 1 < len(coded):
+        if coded[anchor + 1][0].kind != "B":
+            done[anchor + 1] = _from(*coded[anchor + 1], done[anchor])
+            anchor += 1
+            continue
+        done[anchor + REACH] = _from(*coded[anchor + REACH], done[anchor])
+        for at, _, _ in PYRAMID:
+            f, valid = coded[anchor + at]
+            across = f.padded_width // f.block
+            va, vb = (np.array(v).reshape(-1, across, 2) for v in (f.vectors, f.back_vectors))
+            modes = np.array(f.modes).reshape(-1, across)
+            a, b = (done[anchor + r] for r in f.refs)
+            guess = [_mixed(compensate(p, va, f.block), compensate(q, vb, f.block), modes, f.block) for p, q in zip(a, b, strict=True)]
+            done[anchor + at] = [p + q for p, q in zip(decode_planes(f, valid), guess, strict=True)]
+        anchor += REACH
+    return [_shown(done[i], coded[0][0]) for i in range(len(coded))]
 
 
 def encode_sequences(frames: DataFrame, q: int, interval: int = 8, tile: int = 256) -> DataFrame:
-    """(seq_id, frame_idx, kind, blob, bytes, psnr): groups of interval frames, an independent one and predicted ones; groups of nine have
-    frames predicted from both sides.
+    """(seq_id, frame_idx, kind, blob, bytes, psnr): groups of interval frames, an independent one and predicted ones; where there are nine
+    or more, seven of every eight are predicted from both sides.
 
     A group is one task's work, in order; groups of all sequences are spread over tasks.
     """
@@ -417,6 +435,22 @@ def encode_sequences(frames: DataFrame, q: int, interval: int = 8, tile: int = 2
     return g.groupBy("seq_id", "gop").applyInPandas(run, "seq_id long, frame_idx long, kind string, blob binary, bytes long, psnr double")
 
 
+def decode_sequences(coded: DataFrame, interval: int = 8) -> DataFrame:
+    """(seq_id, frame_idx, width, height, rgb) of encode_sequences' rows (seq_id, frame_idx, blob) of the same interval.
+
+    A group that has lost its first frames has no reference and gives no frame."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_idx")
+        rows, blobs = [], list(pdf["blob"])
+        if pdf["frame_idx"].iloc[0] % interval == 0 and pdf["frame_idx"].is_monotonic_increasing:
+            rows = [(key[0], i, x.shape[1], x.shape[0], x.ravel().tolist()) for i, x in zip(pdf["frame_idx"], decode_pyramid(blobs), strict=True)]
+        return pd.DataFrame(rows, columns=["seq_id", "frame_idx", "width", "height", "rgb"])
+
+    g = coded.select("seq_id", "frame_idx", "blob", F.floor(F.col("frame_idx") / interval).cast("long").alias("gop"))
+    return g.groupBy("seq_id", "gop").applyInPandas(run, "seq_id long, frame_idx long, width int, height int, rgb array<double>")
+
+
 def encode_temporal(frames: DataFrame, q: int, size: int = 4, tile: int = 256, factor: float = 2.0) -> DataFrame:
     """(seq_id, gop, role, level, pos, blob): Haar bands over groups of size frames, highs with a larger step; frames left over are
     coded on their own with role tail. Groups are independent of each other."""
@@ -452,8 +486,9 @@ def decode_temporal(coded: DataFrame, size: int = 4) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows, gop = [], int(key[1])
-        out = lambda p, i: (key[0], gop * size + i, p[0].shape[1], p[0].shape[0], np.clip(uncolor(p, False), 0, 255).ravel().tolist())
-        got = {(r.role, r.level, r.pos): decode_planes(*read_frame(r.blob)) for r in pdf.itertuples()}
+        out = lambda p, i: (key[0], gop * size + i, p[0].shape[1], p[0].shape[0], np.clip(uncolor(p, False), 0, most).ravel().tolist())
+        coded = {(r.role, r.level, r.pos): read_frame(r.blob) for r in pdf.itertuples()}
+        got, most = {k: decode_planes(*x) for k, x in coded.items()}, max((1 << x[0].bit_depth) - 1 for x in coded.values())
         if any(k[0] == "tail" for k in got):
             rows = [out(p, k[2]) for k, p in sorted(got.items(), key=lambda x: x[0][2])]
         else:
@@ -482,4 +517,4 @@ def tile_bytes(coded: DataFrame) -> DataFrame:
     return coded.select("seq_id", "frame_idx", "blob").mapInPandas(run, "seq_id long, frame_idx long, tile long, size long, valid boolean")
 
 
-__all__ = ["band_map", "decode", "decode_temporal", "encode", "encode_sequences", "encode_temporal", "settings", "tile_bytes"]
+__all__ = ["band_map", "decode", "decode_sequences", "decode_temporal", "encode", "encode_sequences", "encode_temporal", "settings", "tile_bytes"]

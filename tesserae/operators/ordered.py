@@ -17,17 +17,26 @@ def scene_segments(df: DataFrame, keys: list[str], threshold: float, value: str
     return df.withColumn("cut", F.coalesce(cut, F.lit(False))).withColumn("segment", F.sum(F.col("cut").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+#: B frames of one group, which a P frame ends (fixed value).
+B_FRAMES = 7
+
+
 def assign_kinds(df: DataFrame, keys: list[str], interval: int) -> DataFrame:
-    """Adds since (frames since the segment's first) and kind. Every interval-th frame and every segment's first is I;
-    in whole groups the frames between are B but for the last, which is P; in a cut-off group all are P. Intervals under 9
-    have no B frames."""
-    w = Window.partitionBy(*keys, "segment")
-    since = F.col("pos") - F.min("pos").over(w)
-    whole = F.floor(F.count("*").over(w) / interval) * interval
-    df = df.withColumns({"since": since, "_whole": whole})
-    at = F.col("since") % interval
-    inner = (F.col("since") < F.col("_whole")) & (at != interval - 1) if interval >= 9 else F.lit(False)
-    return df.withColumn("kind", F.when(at == 0, "I").when(inner, "B").otherwise("P")).drop("_whole")
+    """Adds since (frames since the last key frame) and kind.
+
+    Key frames (I) are those whose pos is a multiple of interval, and every segment's first. The frames up to the next one are cut
+    into groups of B_FRAMES B frames and a P frame; what is left over is P. Intervals that hold no whole group have no B frames.
+    """
+    w = Window.partitionBy(*keys).orderBy("pos")
+    first = F.col("segment") != F.lag("segment").over(w)
+    key = F.coalesce(first, F.lit(True)) | (F.col("pos") % max(interval, 1) == 0)
+    df = df.withColumn("_run", F.sum(key.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*keys, "_run")
+    df = df.withColumns({"since": F.col("pos") - F.min("pos").over(run), "_left": F.count("*").over(run) - 1})
+    group = B_FRAMES + 1
+    whole = F.floor(F.col("_left") / group) * group
+    inner = (F.col("since") <= whole) & (F.col("since") % group != 0) if interval > group else F.lit(False)
+    return df.withColumn("kind", F.when(F.col("since") == 0, "I").when(inner, "B").otherwise("P")).drop("_run", "_left")
 
 
 #: Display offset to coding rank of seven frames between anchors: the middle, then the quarters, then the rest (fixed values).

@@ -104,16 +104,44 @@ def scene_cut_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("user_id", "segment").agg(F.min("pos").alias("first"), F.count("*").alias("n"), r6(F.avg("value"), "mean"))
 
 
-_PLAN = f"""(SELECT user_id, pos, since, CASE WHEN since % 9 = 0 THEN 'I' WHEN left_in - since >= 0 AND (since % 9) <> 8 THEN 'B' ELSE 'P' END AS kind FROM
-(SELECT user_id, pos, pos - min(pos) OVER w AS since, count(*) OVER w // 9 * 9 - 1 AS left_in FROM
-(SELECT *, sum(CASE WHEN d > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos) AS segment FROM (SELECT *, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS d FROM {SERIES}))
-WINDOW w AS (PARTITION BY user_id, segment)))"""
+_CUTS = f"(SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) > 50, true) AS first FROM {SERIES})"
 
 
-@query(f"SELECT user_id, pos, since, kind FROM {_PLAN}")
+def _plan(interval: int) -> str:
+    """Kinds by the number of the frame after its key frame: eight to a group, of which the last is P."""
+    return f"""(SELECT user_id, pos, since, CASE WHEN since = 0 THEN 'I' WHEN {interval} >= 9 AND (since - 1) // 8 < (frames - 1) // 8 AND (since - 1) % 8 < 7 THEN 'B' ELSE 'P' END AS kind
+FROM (SELECT k.user_id, k.pos, k.pos - k.key_pos AS since, count(*) OVER (PARTITION BY k.user_id, k.key_pos) AS frames FROM
+(SELECT user_id, pos, max(CASE WHEN first OR pos % {interval} = 0 THEN pos END) OVER (PARTITION BY user_id ORDER BY pos) AS key_pos FROM {_CUTS}) k))"""
+
+
+def _kinds(interval: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = ordered.scene_segments(series(spark, sf_dir), ["user_id"], threshold=50.0)
+        return ordered.assign_kinds(s, ["user_id"], interval=interval).select("user_id", "pos", "since", "kind")
+
+    return run
+
+
+@query(f"SELECT user_id, pos, since, kind FROM {_plan(9)}")
 def gop_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ordered.scene_segments(series(spark, sf_dir), ["user_id"], threshold=50.0)
-    return ordered.assign_kinds(s, ["user_id"], interval=9).select("user_id", "pos", "since", "kind")
+    return _kinds(9)(spark, sf_dir)
+
+
+@query(f"SELECT user_id, pos, since, kind FROM {_plan(10)}")
+def gop_assignment_left_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of one group and a frame that is left over."""
+    return _kinds(10)(spark, sf_dir)
+
+
+@query(f"SELECT user_id, pos, since, kind FROM {_plan(17)}")
+def gop_assignment_two_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(17)(spark, sf_dir)
+
+
+@query(f"SELECT user_id, pos, since, kind FROM {_plan(8)}")
+def gop_assignment_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An interval that holds no whole group: no B frames."""
+    return _kinds(8)(spark, sf_dir)
 
 
 @query(f"""SELECT user_id, pos, row_number() OVER (PARTITION BY user_id ORDER BY anchor, late, rank) - 1 AS decode_pos FROM
@@ -121,7 +149,7 @@ def gop_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN kind <> 'B' THEN 0 WHEN run = 7 THEN [4, 2, 5, 1, 6, 3, 7][pos - first + 1] ELSE pos - first + 1 END AS rank FROM
  (SELECT *, min(CASE WHEN kind <> 'B' THEN pos END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_anchor,
   min(pos) OVER (PARTITION BY user_id, isle, kind = 'B') AS first, count(*) OVER (PARTITION BY user_id, isle, kind = 'B') AS run FROM
-  (SELECT *, sum(CASE WHEN kind <> 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos) AS isle FROM {_PLAN})))""")
+  (SELECT *, sum(CASE WHEN kind <> 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos) AS isle FROM {_plan(9)})))""")
 def decode_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ordered.scene_segments(series(spark, sf_dir), ["user_id"], threshold=50.0)
     kinds = ordered.assign_kinds(s, ["user_id"], interval=9)

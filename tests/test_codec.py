@@ -54,6 +54,39 @@ def test_frames_between():
         assert codec.psnr(a, b) > 36
 
 
+@pytest.mark.parametrize("n", [1, 5, 10, 20])
+def test_groups_within_any_interval(n):
+    frames = [np.roll(CHECKER, i, 1) for i in range(n)]
+    blobs = codec.encode_pyramid(frames, codec.settings(75, W, H, 64))
+    kinds = "".join(containers.read_frame(b)[0].kind for b in blobs)
+    assert kinds == "I" + "BBBBBBBP" * ((n - 1) // 8) + "P" * ((n - 1) % 8)
+    for a, b in zip(frames, codec.decode_pyramid(blobs), strict=True):
+        assert codec.psnr(a, b) > 34
+
+
+def test_damage_between():
+    """A damaged tile of a frame between two others loses its residual and nothing else."""
+    frames = [np.roll(CHECKER, i, 1) for i in range(9)]
+    blobs = codec.encode_pyramid(frames, codec.settings(75, W, H, 64))
+    whole = codec.decode_pyramid(blobs)
+    blobs[1] = blobs[1][:-1] + bytes([blobs[1][-1] ^ 255])
+    assert not all(containers.read_frame(blobs[1])[1])
+    got = codec.decode_pyramid(blobs)
+    assert all((a == b).all() for i, (a, b) in enumerate(zip(whole, got, strict=True)) if i != 1)
+    assert np.isfinite(got[1]).all()
+
+
+def test_sequences_decode(spark):
+    rows = [(7, i, W, H, np.roll(CHECKER, i, 1).astype(float).ravel().tolist()) for i in range(12)]
+    df = spark.createDataFrame(rows, "seq_id long, frame_idx long, width int, height int, rgb array<double>")
+    coded = codec.encode_sequences(df, q=75, interval=10, tile=64).cache()
+    back = {r.frame_idx: np.rint(np.array(r.rgb)) for r in codec.decode_sequences(coded, interval=10).collect()}
+    assert sorted(back) == list(range(12))
+    for r in coded.collect():
+        assert codec.psnr(np.array(rows[r.frame_idx][4]), back[r.frame_idx]) == pytest.approx(r.psnr)
+    assert sorted(r.frame_idx for r in codec.decode_sequences(coded.where("frame_idx <> 0"), interval=10).collect()) == [10, 11]
+
+
 def test_intra_inverts():
     from tesserae.operators import intra
 
