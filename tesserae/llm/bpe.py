@@ -1,11 +1,16 @@
 """Byte-level BPE: recursive DuckDB queries encode each partition's words, ordered aggregation decodes.
 
 Each Arrow batch of texts is split by the pre-token pattern; its distinct words go to an in-process DuckDB. A word that
-is a token is that token. Others start as one token per byte; the recursive query joins adjacent tokens to the merge
-table, contracts the leftmost pair of minimum rank and stops where no pair merges. Long words take the same rule as
-one row per token position, where all occurrences of the minimum are contracted at once if their token can't start or end
-one of lower rank (then the order can't matter), else the leftmost. The merge table is a function of the vocabulary
-file, whose size is fixed; nothing else is broadcast, and there is no shuffle.
+is a token is that token. Others start as one token per byte; the recursive query joins the adjacent tokens of every position to the merge
+table, contracts the leftmost pair of minimum rank of each word and stops where no pair merges.
+
+Longer words than WINDOW bytes are cut into windows that overlap by half, which the same query encodes at once. Tokens in a row are a text's
+encoding if every two neighbours are the encoding of their own bytes, and all neighbours in a window's encoding are. So two windows are joined at any
+token that both have at the same place; where they have none, a window that begins at a token of the one before takes the second one's place.
+Time and memory grow with a word's length, not with its square.
+
+The merge table is a function of the vocabulary file, whose size is fixed; nothing else is broadcast, there is no shuffle, and DuckDB writes no
+files.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import kept, let_go, small_batches, table, tidy
 
-#: Bytes up to which words are contracted as lists, one row a word.
-LIST_BYTES = 256
+#: Bytes of a word, or of a window of a longer one, that is contracted at once. Windows are four times the longest token at least.
+WINDOW = 256
 #: Distinct words whose tokens a worker remembers; then it starts anew.
 CACHE = 600_000
 #: Bytes of words in one recursive query, and characters of texts handled together: these bound memory.
@@ -32,7 +37,7 @@ GROUP_CHARS = 1_500_000
 #: Ids that one decoding query aggregates.
 DECODE_IDS = 150_000
 
-_LISTS = """
+_CONTRACT = """
 WITH RECURSIVE r(w, toks) USING KEY (w) AS (
     SELECT w, toks FROM start
     UNION
@@ -47,35 +52,6 @@ WITH RECURSIVE r(w, toks) USING KEY (w) AS (
 SELECT w, toks FROM r
 """
 
-_ROWS = """
-WITH RECURSIVE r(w, p, t, step) AS (
-    SELECT w, p, t, 0 FROM start_rows
-    UNION ALL
-    SELECT w, p, CASE WHEN pick THEN best ELSE t END, step + 1
-    FROM (
-        SELECT *, coalesce(lag(pick) OVER (PARTITION BY w ORDER BY p), false) AS eaten
-        FROM (
-            SELECT *, cand AND CASE WHEN alone THEN k = 1 ELSE row_number() OVER (PARTITION BY w, cand, i - k ORDER BY p) % 2 = 1 END AS pick
-            FROM (
-                SELECT *, row_number() OVER (PARTITION BY w, cand ORDER BY p) AS k
-                FROM (
-                    SELECT *, coalesce(rank = best, false) AS cand
-                    FROM (
-                        SELECT q.*, m.rank, m.alone, CAST(min(m.rank) OVER (PARTITION BY q.w) AS INTEGER) AS best
-                        FROM (SELECT w, p, t, step, lead(t) OVER (PARTITION BY w ORDER BY p) AS n, row_number() OVER (PARTITION BY w ORDER BY p) AS i FROM r) q
-                        LEFT JOIN merge m ON m.ab = CAST(q.t AS BIGINT) * 16777216 + q.n
-                    )
-                    WHERE best IS NOT NULL
-                )
-            )
-        )
-    )
-    WHERE NOT eaten
-)
-SELECT w, list(t ORDER BY p) AS toks FROM r JOIN (SELECT w, max(step) AS step FROM r GROUP BY w) USING (w, step) GROUP BY w
-"""
-
-
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank a line."""
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
@@ -92,17 +68,18 @@ class Codec:
         self.ranks = ranks = read_ranks(data)
         self.pattern = regex.compile(pattern)
         self.byte = [ranks[bytes([b])] for b in range(256)]
-        unsafe, rows = set(), []
+        rows = []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     rows.append((a * 16777216 + b, rank))
-                unsafe.update(x for x in (a, b) if x is not None and x > rank)
         merges = pd.DataFrame(rows, columns=["ab", "rank"])
-        merges["alone"] = merges["rank"].isin(unsafe)
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
+        self.window = max(WINDOW, 4 * int(self.sizes.max()))
         tokens = pd.DataFrame({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]})
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         for name, df in (("merge", merges), ("token", tokens)):
             self.db.register("given", df)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -121,39 +98,67 @@ class Codec:
             if rank is not None:
                 out[i] = self.cache[words[i]] = rank.to_bytes(4, "little")
                 continue
+            if len(raw) > self.window:
+                out[i] = self._long(raw)
+                continue
             todo.append((i, raw))
             size += len(raw)
             if size > QUERY_BYTES:
-                self._contract(todo, words, out)
+                self._short(todo, words, out)
                 todo, size = [], 0
-        self._contract(todo, words, out)
+        self._short(todo, words, out)
         return out
 
-    def _contract(self, todo: list[tuple[int, bytes]], words: list[str], out: list[bytes | None]) -> None:
-        byte = np.array(self.byte, np.int32)
-        for short in (True, False):
-            part = [x for x in todo if (len(x[1]) <= LIST_BYTES) == short]
-            if not part:
-                continue
-            lens = np.array([len(raw) for _, raw in part])
-            toks = byte[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
-            ends = np.cumsum(lens)
-            if short:
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(toks))
-                start = pa.table({"w": pa.array(np.arange(len(part), dtype=np.int64)), "toks": lists})
-                got = self._run("start", start, _LISTS)
-            else:
-                w = np.repeat(np.arange(len(part), dtype=np.int64), lens)
-                start = pa.table({"w": w, "p": np.arange(len(toks), dtype=np.int64) - np.repeat(ends - lens, lens), "t": toks})
-                got = self._run("start_rows", start, _ROWS)
-            lists = got.column("toks").combine_chunks()
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            at = 4 * np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            for w, a, z in zip(got.column("w").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                i = part[w][0]
-                out[i] = x = flat[a:z]
-                if short:
-                    self.cache[words[i]] = x
+    def _short(self, todo: list[tuple[int, bytes]], words: list[str], out: list[bytes | None]) -> None:
+        for (i, _), ids in zip(todo, self._contract([raw for _, raw in todo]), strict=True):
+            out[i] = self.cache[words[i]] = ids.astype("<u4").tobytes()
+
+    def _contract(self, parts: list[bytes]) -> list[np.ndarray]:
+        """The tokens of each part, by the recursive query."""
+        if not parts:
+            return []
+        ends = np.cumsum([len(raw) for raw in parts])
+        toks = np.array(self.byte, np.int32)[np.frombuffer(b"".join(parts), np.uint8)]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(toks))
+        got = self._run("start", pa.table({"w": pa.array(np.arange(len(parts), dtype=np.int64)), "toks": lists}), _CONTRACT)
+        lists = got.column("toks").combine_chunks()
+        flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        out: list = [None] * len(parts)
+        for w, ids in zip(got.column("w").to_pylist(), np.split(flat, cuts), strict=True):
+            out[w] = ids
+        return out
+
+    def _at(self, raw: bytes, places: list[int], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The tokens of the windows that begin at places, and where each begins and the last ends."""
+        out = []
+        for a in range(0, len(places), max(1, QUERY_BYTES // size)):
+            own = places[a : a + max(1, QUERY_BYTES // size)]
+            out += [(ids, x + np.concatenate([[0], np.cumsum(self.sizes[ids])])) for x, ids in zip(own, self._contract([raw[x : x + size] for x in own]), strict=True)]
+        return out
+
+    def _long(self, raw: bytes) -> bytes:
+        """The tokens of a word of any length, from windows."""
+        n, step = len(raw), self.window // 2
+        windows = self._at(raw, list(range(0, max(1, n - step), step)), self.window)
+        done, (ids, at), i = [], windows[0], 1
+        while at[-1] < n:
+            while i + 1 < len(windows) and windows[i + 1][1][0] < at[-1] - step:
+                i += 1
+            size, joint = self.window, None
+            if i < len(windows):
+                joint, right = _common(at, windows[i][1]), windows[i]
+                i += 1
+            while joint is None:
+                if size >= n:  # no two windows agree anywhere
+                    return self._contract([raw])[0].astype("<u4").tobytes()
+                middle = int(at[len(ids) // 2])
+                right = self._at(raw, [middle], size + int(at[-1]) - middle)[0]
+                joint = _common(at, right[1])
+                size *= 2
+            k, j = joint
+            done.append(ids[:k])
+            ids, at = right[0][j:], right[1][j:]
+        return np.concatenate([*done, ids]).astype("<u4").tobytes()
 
     def _run(self, name: str, start: pa.Table, sql: str) -> pa.Table:
         self.db.register(name, start)
@@ -201,6 +206,13 @@ class Codec:
         return out
 
 
+def _common(left: np.ndarray, right: np.ndarray) -> tuple[int, int] | None:
+    """The numbers of a token that begins and ends at the same places in both windows, the last such; none if they share none."""
+    both, k, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+    whole = np.nonzero((np.diff(k) == 1) & (np.diff(j) == 1))[0]
+    return (int(k[whole[-1]]), int(j[whole[-1]])) if len(whole) else None
+
+
 def _codec(data: bytes, pattern: str) -> Codec:
     codec = kept("bpe", lambda: Codec(data, pattern))
     if codec.source != (data, pattern):
