@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from typing import IO
 
@@ -42,8 +43,11 @@ class Output:
         self.fs.move(self.part, self.path)
 
     def abandon(self) -> None:
-        self.out.close()
-        self.fs.delete_file(self.part)
+        """Deletes the part of a file that will not be whole; nothing if it has its name already."""
+        with contextlib.suppress(Exception):
+            self.out.close()
+        with contextlib.suppress(FileNotFoundError):
+            self.fs.delete_file(self.part)
 
 
 def open_input(uri: str) -> IO[bytes]:

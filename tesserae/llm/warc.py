@@ -135,10 +135,13 @@ def _need_stored(found: dict, name: str) -> tuple[int, int]:
 
 
 def with_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with a row number, and refers: (page_id, row) of the response that each equals, null if it is alone."""
+    """pages (page_id, url, html) with a row number, and refers: (page_id, row) of the response that each equals, null if it is alone.
+
+    The rows are written with their numbers first: whatever is computed again later reads the same ones.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     df = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html")).withColumn("row", F.monotonically_increasing_id())
-    df = df.withColumn("sha1", F.sha1("html"))
+    df = written(df.withColumn("sha1", F.sha1("html")), "warc-rows")
     several = (
         df.where(F.octet_length("html") >= min_bytes)
         .groupBy("sha1")
@@ -160,6 +163,15 @@ def write(pages: DataFrame, uri: str, min_bytes: int = 0) -> DataFrame:
         return f"urn:x-page:{'' if page is None else page}:{row}"
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: list[Output] = []
+        try:
+            yield from package(batches, opened)
+        except BaseException:
+            for out in opened:
+                out.abandon()
+            raise
+
+    def package(batches: Iterator[pa.RecordBatch], opened: list[Output]) -> Iterator[pa.RecordBatch]:
         out, index, zf, member = None, [], None, None
         at = 0
         for b in batches:
@@ -167,6 +179,7 @@ def write(pages: DataFrame, uri: str, min_bytes: int = 0) -> DataFrame:
                 if out is None:
                     name = f"part-{TaskContext.get().partitionId():06d}.wacz"
                     out = Output(f"{uri}/{name}")
+                    opened.append(out)
                     zf = zipfile.ZipFile(_Stream(out), "w", zipfile.ZIP_STORED, allowZip64=True)
                     member = zf.open(zipfile.ZipInfo(MEMBER), "w", force_zip64=True)
                 payload = html.encode("utf-8")
