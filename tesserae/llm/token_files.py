@@ -5,7 +5,7 @@ A file holds documents in ascending doc_id order:
     magic "TIDZ0001" | dictionary hash (first 8 bytes of SHA-256) | id width, 1 byte (2 or 4) | 7 zero bytes
     one zstandard frame for each document
     index: doc_id int64, offset uint64, size uint32, n_tokens uint32 for each document, as four columns
-    footer: index offset uint64, documents uint64, magic
+    footer: index offset uint64, documents uint64, of these without doc_id (they are first) uint64, magic
 
 The dictionary file lies beside them and is named by its hash. One document is read with its index entry and one
 range read. All numbers are little-endian.
@@ -18,9 +18,11 @@ nulls first) may meet in one partition: a frame is a fraction of its text, and w
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +44,10 @@ LEVEL = 3
 FILE_ROWS, MAX_FILES = 20_000, 20_000
 #: Distinct words whose ids a worker remembers; then it starts anew.
 CACHE = 600_000
-_NULL_ID = -(1 << 63)
-
+#: The settings of the vocabulary that Words is written for (fixed values); texts of others go to the library whole.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 #: The lower-case letters, numbers and white space of Latin-1, and the pre-tokens of the vocabulary in such a text (fixed values).
 _L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
@@ -55,7 +59,8 @@ class Words:
 
     In a Latin-1 text the library's normalizer only lower-cases and turns white space to spaces, and its pre-tokenizer
     cuts the pieces of _PIECE; the library's model encodes each distinct piece. Other texts, and those that may hold a special
-    token, are cut at spaces and newlines, which end every pre-token; the library encodes each distinct part.
+    token, are cut at spaces and newlines, which end every pre-token; the library encodes each distinct part. Vocabularies of other
+    settings than these are not taken apart: the library encodes each whole text.
     """
 
     def __init__(self, data: str):
@@ -63,6 +68,11 @@ class Words:
 
         self.source, self.tokenizer = data, tokenizers.Tokenizer.from_str(data)
         self.model = self.tokenizer.model
+        d = json.loads(data)
+        own = d.get("normalizer") == _NORMALIZER and d.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+        plain_model = d["model"].get("type") == "BPE" and not d["model"].get("dropout") and not d.get("post_processor") and not d.get("truncation") and not d.get("padding")
+        special = all(t["content"].startswith("<|") and t["special"] and not t["normalized"] and not t["single_word"] for t in d.get("added_tokens") or ())
+        self.known = own and plain_model and special
         # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 in order
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
@@ -75,6 +85,8 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        if not self.known:
+            return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.cache) > CACHE:
             self.cache = {}
         cache, split, whole = self.cache, [], set()
@@ -115,19 +127,17 @@ def _ids(data: str, texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 def train(docs: DataFrame, tokenizer: str, width: int) -> bytes:
-    """A dictionary from the serialized ids of the documented sample; empty if there is too little to learn from."""
+    """A dictionary from the serialized ids of the documented sample: trained, or where the sample is too small for that, its own bytes."""
     n = docs.count()
     if n > SAMPLE_ROWS:
         docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (SAMPLE_ROWS << 40) // n)
     # ids may repeat, so the sample is bounded besides
     texts = [r.text for r in docs.where(F.length("text") <= SAMPLE_CHARS).select("text").limit(4 * SAMPLE_ROWS).collect()]
     samples = [x.astype(f"<u{width}").tobytes() for x in _ids(tokenizer, texts)]
-    if len(samples) < 100:
-        return b""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except (ValueError, zstandard.ZstdError):  # too few bytes
+        return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 def _bounds(docs: DataFrame, files: int) -> list[int]:
@@ -171,41 +181,50 @@ def write(docs: DataFrame, tokenizer_path: str, uri: str, file_rows: int = FILE_
                 n.append(len(ids))
                 frames.append(c.compress(ids.astype(f"<u{width}").tobytes()))
             # the first range whose upper bound is not below doc_id; nulls in the first
-            place = np.searchsorted(bounds, b.column(0).fill_null(_NULL_ID).to_numpy()).astype(np.int32)
+            place = np.searchsorted(bounds, b.column(0).fill_null(-(1 << 63)).to_numpy()).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(place), b.column(0), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], names=["place", "doc_id", "n", "frame"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, index, name, total = None, [], "", 0
+        opened: list[Output] = []
+        try:
+            yield from one_file(batches, opened)
+        except BaseException:
+            for out in opened:
+                out.abandon()
+            raise
+
+    def one_file(batches: Iterator[pa.RecordBatch], opened: list[Output]) -> Iterator[pa.RecordBatch]:
+        index, name, nulls = tuple(array(kind) for kind in "qQII"), "", 0
         for b in batches:
             for doc, n, frame in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                doc = _NULL_ID if doc is None else doc
-                if out is None:
-                    name = f"{doc + (1 << 63):020d}.tid"
-                    out = Output(f"{uri}/{name}")
-                    out.write(MAGIC + digest + bytes([width]) + bytes(7))
+                if not opened:
                     first = doc
-                index.append((doc, out.tell(), len(frame), n))
-                total += n
-                out.write(frame)
-        if out is None:
+                    name = "without.tid" if doc is None else f"{doc + (1 << 63):020d}.tid"
+                    opened.append(Output(f"{uri}/{name}"))
+                    opened[0].write(MAGIC + digest + bytes([width]) + bytes(7))
+                nulls += doc is None
+                for column, x in zip(index, (doc or 0, opened[0].tell(), len(frame), n), strict=True):
+                    column.append(x)
+                opened[0].write(frame)
+        if not opened:
             return
-        at = out.tell()
-        for column, kind in zip(zip(*index, strict=True), ("<i8", "<u8", "<u4", "<u4"), strict=True):
+        out, at = opened[0], opened[0].tell()
+        for column, kind in zip(index, ("<i8", "<u8", "<u4", "<u4"), strict=True):
             out.write(np.array(column, kind).tobytes())
-        out.write(struct.pack("<QQ", at, len(index)) + MAGIC)
+        out.write(struct.pack("<QQQ", at, len(index[0]), nulls) + MAGIC)
         out.close()
-        yield pa.RecordBatch.from_pydict({"file": [name], "first_doc_id": [first], "n_docs": [len(index)], "n_tokens": [total]})
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([len(index[0])], pa.int64()), pa.array([sum(index[3])], pa.int64())], names=["file", "first_doc_id", "n_docs", "n_tokens"])
 
     small_batches(spark)
     frames = docs.mapInArrow(tidy(compress, "words"), "place int, doc_id long, n long, frame binary").repartitionById(len(bounds) + 1, "place").drop("place")
     return written(frames.sortWithinPartitions("doc_id", "frame").mapInArrow(tidy(save), "file string, first_doc_id long, n_docs long, n_tokens long"), "token-files")
 
 
-def read_index(f) -> tuple[bytes, int, list[np.ndarray]]:
-    """Dictionary hash, id width and index columns of an open file, by range reads of its header, footer and index."""
+def read_index(f) -> tuple[bytes, int, list[np.ndarray], int]:
+    """Dictionary hash, id width, index columns and number of documents without doc_id of an open file, by range reads of its header, footer and index."""
     size = f.size()
     head = f.read_at(24, 0)
-    at, n = struct.unpack("<QQ", f.read_at(24, size - 24)[:16])
+    at, n, nulls = struct.unpack("<QQQ", f.read_at(32, size - 32)[:24])
     if head[:8] != MAGIC or f.read_at(8, size - 8) != MAGIC:
         raise ValueError("not a token-id file")
     raw, out, p = f.read_at(24 * n, at), [], 0
@@ -213,7 +232,7 @@ def read_index(f) -> tuple[bytes, int, list[np.ndarray]]:
         step = n * int(kind[2])
         out.append(np.frombuffer(raw[p : p + step], kind))
         p += step
-    return head[8:16], head[16], out
+    return head[8:16], head[16], out, nulls
 
 
 def _decompressor(uri: str, digest: bytes) -> zstandard.ZstdDecompressor:
@@ -227,10 +246,10 @@ def _decompressor(uri: str, digest: bytes) -> zstandard.ZstdDecompressor:
 def read_documents(uri: str, file: str, doc_ids: list[int]) -> list[np.ndarray]:
     """Ids of single documents of one file: its index, then one range read each."""
     with open_input(f"{uri}/{file}") as f:
-        digest, width, (docs, offsets, sizes, _) = read_index(f)
+        digest, width, (docs, offsets, sizes, _), nulls = read_index(f)
         d, out = _decompressor(uri, digest), []
         for doc in doc_ids:
-            i = int(np.searchsorted(docs, doc))
+            i = nulls + int(np.searchsorted(docs[nulls:], doc))
             if i == len(docs) or docs[i] != doc:
                 raise KeyError(doc)
             out.append(np.frombuffer(d.decompress(f.read_at(int(sizes[i]), int(offsets[i]))), f"<u{width}"))
@@ -248,14 +267,14 @@ def read(files: DataFrame, uri: str) -> DataFrame:
 
 def _read(files: DataFrame, uri: str, digest_only: bool) -> DataFrame:
     spark = files.sparkSession
-    before = "coalesce(sum(n_tokens) over (order by first_doc_id rows between unbounded preceding and 1 preceding), 0)"
+    before = "coalesce(sum(n_tokens) over (order by first_doc_id nulls first rows between unbounded preceding and 1 preceding), 0)"
     todo = files.selectExpr("file", f"{before} as start").repartition(max(1, files.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, start in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 with open_input(f"{uri}/{file}") as f:
-                    digest, width, (docs, offsets, sizes, counts) = read_index(f)
+                    digest, width, (docs, offsets, sizes, counts), nulls = read_index(f)
                     d = _decompressor(uri, digest)
                     starts = start + np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                     for a in range(0, len(docs), 500):
@@ -268,7 +287,7 @@ def _read(files: DataFrame, uri: str, digest_only: bool) -> DataFrame:
                             if len(ids) != 4 * counts[i]:
                                 raise ValueError(f"{file}: document {docs[i]} does not have the ids its index counts")
                             out.append(zlib.crc32(ids) if digest_only else ids)
-                        doc = pa.array(docs[a:z], pa.int64(), mask=docs[a:z] == _NULL_ID)
+                        doc = pa.array(docs[a:z], pa.int64(), mask=np.arange(a, z) < nulls)
                         last = pa.array(out, pa.int64() if digest_only else pa.binary())
                         yield pa.RecordBatch.from_arrays([doc, pa.array(starts[a:z]), pa.array(counts[a:z].astype(np.int64)), last], names=["doc_id", "start", "n_tokens", "last"])
 
