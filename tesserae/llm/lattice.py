@@ -6,7 +6,7 @@ stands in its own cell and looks into that and the neighbouring cells whose latt
 group. Vectors that meet are verified by their cosine in double precision.
 
 Pairs whose signs on 64 random directions differ in more than SIGNS are discarded before their vectors are fetched (a pair at
-the threshold differs in 6.5 on average; beyond SIGNS with a probability under 1e-7).
+the threshold differs in 6.5 on average; beyond SIGNS with a probability under 1e-7), in sparse and in full cells alike.
 
 Cells with up to CELL vectors that stand or look in are joined pair by pair. Fuller cells are compared in blocks of
 BLOCK by BLOCK vectors, one task each: only counts of links and one link to a representative for each
@@ -33,7 +33,8 @@ from .common import connected_components, table, tidy, written
 THRESHOLD = 0.95
 TABLES, PROBES, SCALE, SEED = 6, 4, 0.3, 7
 CELL, BLOCK, SIGNS = 128, 512, 22
-_SLACK = 1e-12
+#: Products of blocks this far below the threshold are computed again, as pairs of sparse cells are.
+_NEAR = 1e-9
 
 
 def _d8(x: np.ndarray) -> np.ndarray:
@@ -119,6 +120,11 @@ def _units(vectors: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of unit vectors, of a row each; each is the same whatever rows stand beside it, and whichever of the two is first."""
+    return (x * y).sum(axis=1)
+
+
 def hashed(reps: DataFrame) -> DataFrame:
     """(rep, cell, home, signs): the cells in which each vector of reps (rep, dims, vec) stands (home) or looks."""
 
@@ -158,7 +164,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
             for d in np.unique(lens[same]):
                 at = np.nonzero(same & (lens == d))[0]
                 take = pa.array(at)
-                ok[at] = (_units(x.take(take)) * _units(y.take(take))).sum(axis=1) >= THRESHOLD - _SLACK
+                ok[at] = _cosine(_units(x.take(take)), _units(y.take(take))) >= THRESHOLD
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in range(4)], names=["a", "b", "m_a", "m_b"])
 
     return pairs.select("a", "b", "m_a", "m_b", "vec_a", "vec_b").mapInArrow(tidy(run), "a long, b long, m_a long, m_b long")
@@ -170,7 +176,12 @@ def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     if stand.empty or look.empty:
         return pd.DataFrame({"rep": [], "n": [], "other": []}, dtype="int64")
     unit = lambda df: _units(pa.array(df["vec"].tolist(), pa.list_(pa.float64())))
-    i, j = np.nonzero(unit(look) @ unit(stand).T >= THRESHOLD - _SLACK)
+    u, v = unit(look), unit(stand)
+    i, j = np.nonzero(u @ v.T >= THRESHOLD - _NEAR)
+    like = np.bitwise_count(look["signs"].to_numpy(np.int64)[i] ^ stand["signs"].to_numpy(np.int64)[j]) <= SIGNS
+    i, j = i[like], j[like]
+    exact = np.concatenate([_cosine(u[i[n : n + BLOCK]], v[j[n : n + BLOCK]]) for n in range(0, len(i), BLOCK)] or [np.empty(0)]) >= THRESHOLD
+    i, j = i[exact], j[exact]
     a, b = look["rep"].to_numpy()[i], stand["rep"].to_numpy()[j]
     ok = a != b
     i, j, a, b = i[ok], j[ok], a[ok], b[ok]
@@ -242,7 +253,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     stands = dealt.where("home").withColumn("sb", F.col("block")).withColumn("lb", every)
     looks = dealt.withColumn("lb", F.col("block")).withColumn("sb", every)
-    columns = ["cell", "sb", "lb", "rep", "m", "vec", "hot_home", "hot_in"]
+    columns = ["cell", "sb", "lb", "rep", "signs", "m", "vec", "hot_home", "hot_in"]
     meets = stands.select(*columns, F.lit(True).alias("stands")).unionAll(looks.select(*columns, F.lit(False).alias("stands")))
     dense = written(meets.groupBy("cell", "sb", "lb").applyInPandas(_compare, "rep long, n long, other long"), "dense-links")
 
