@@ -214,6 +214,30 @@ def test_vectors(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_at_the_threshold(spark):
+    """Pairs on both sides of the threshold by a hair, in sparse and in full cells: the same cosine decides, and nothing below it links."""
+    rng = np.random.default_rng(16)
+    def pair(c):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        return a, c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)
+    rows = [v for k in range(150) for v in pair(0.95 + (k % 3 - 1) * 1e-13)]
+    base, _ = pair(1.0)
+    for _ in range(300):  # a full cell
+        away = rng.normal(size=64)
+        away -= (base @ away) * base
+        rows.append(base + rng.choice([0.01, 0.2, 0.23]) * away / np.linalg.norm(away))
+    x = np.array(rows)
+    got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.abs(x).max(axis=1, keepdims=True)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    c = np.array([lattice._cosine(np.broadcast_to(v, u.shape), u) for v in u]) >= lattice.THRESHOLD
+    np.fill_diagonal(c, False)
+    n = np.array([got[i].n_links for i in range(len(x))])
+    assert (n <= c.sum(axis=1)).all() and n.sum() >= 0.99 * c.sum()
+
+
 PAGES = [
     (1, "http://a.net/x", "<p>one</p>"), (2, "http://b.org/fr/", "<p>one</p>"), (3, None, "<p>one</p>"), (4, "http://c.com/\n x", ""), (5, "c", None), (6, "http://d.com", "é" * 70_000),
     (6, "http://d.com", "é" * 70_000), (None, "http://e.com", "alone"),

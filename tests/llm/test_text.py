@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import re
 import time
 import zlib
@@ -51,6 +52,19 @@ def test_bpe_long_words(tiktoken_encoding):
         assert ids.tolist() == tiktoken_encoding.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ACGT", "a", "ab", "=-"])
+def test_bpe_of_one_endless_word(tiktoken_encoding, letters):
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        codec = bpe.Codec(f.read(), P.PATTERN)
+    rng, start = np.random.default_rng(4), time.monotonic()
+    text = "".join(rng.choice(list(letters), 100_000 if len(letters) > 9 else 20_000))
+    assert codec.encode([text])[0].tolist() == tiktoken_encoding.encode_ordinary(text)
+    assert time.monotonic() - start < 60
+    for n in rng.integers(codec.window - 2, 3 * codec.window, 10):
+        text = "".join(rng.choice(list(letters), n))
+        assert codec.encode([text])[0].tolist() == tiktoken_encoding.encode_ordinary(text)
+
+
 def test_bpe_empty(spark, no_docs):
     assert bpe.encode(no_docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
@@ -85,6 +99,36 @@ def test_token_files(spark, docs, edge_docs):
         token_files.read_documents(uri, first.file, [99])
 
 
+def test_token_files_of_few_and_odd_rows(spark):
+    """The dictionary is there however small the table is; null and least ids are told apart."""
+    df = spark.createDataFrame([(-(1 << 63), "the least"), (None, "no id"), (None, None), (4, "four")], "doc_id long, text string")
+    uri = shared_dir(spark, "test-tids")
+    files = token_files.write(df, P.path("word_bpe_49k.json"), uri)
+    got = [(r.doc_id, r.n_tokens) for r in token_files.digests(files, uri).orderBy("start").collect()]
+    assert [d for d, _ in got] == [None, None, -(1 << 63), 4] and sorted(n for _, n in got) == [1, 2, 3, 3]
+    file = files.first().file
+    with token_files.open_input(f"{uri}/{file}") as f:
+        digest = token_files.read_index(f)[0]
+    assert digest != hashlib.sha256(b"").digest()[:8]
+    assert len(token_files.read_documents(uri, file, [-(1 << 63)])[0]) == 3
+    with pytest.raises(KeyError):
+        token_files.read_documents(uri, file, [0])
+
+
+def test_token_words_of_another_vocabulary():
+    """A vocabulary with another normalizer is left to the library."""
+    import tokenizers
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        data = json.load(f)
+    data["normalizer"]["normalizers"].pop()
+    data = json.dumps(data)
+    words, texts = token_files.Words(data), ["A b  C", "it's", "", "ABC abc"]
+    assert not words.known
+    library = tokenizers.Tokenizer.from_str(data)
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_words():
     import tokenizers
 
