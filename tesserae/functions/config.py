@@ -120,3 +120,16 @@ def temporal_mode(fps: Column, q: Column) -> Column:
 def csv_name(path: str, suffix: str) -> str:
     stem, dot, kind = path.rpartition(".")
     return f"{stem}{suffix}.{kind}" if dot else f"{path}{suffix}"
+
+
+#: Capacity of one of a Rice tile's 256 streams: bits a sample at step 0 and their fall with the step, the margin, the least, and the most
+#: of tiles up to 128 and of larger ones (fixed values).
+_BITS, _FALL, _MARGIN, _LEAST, _MOST_SMALL, _MOST_LARGE = 15.0, 0.3, 3, 256, 1024, 4096
+
+
+def rice_stream_bytes(tile: Column, step: Column) -> Column:
+    """Bytes that a stream may take: the estimate with its margin, rounded up to a power of two, within bounds."""
+    bits = _BITS / (1 + _FALL * F.least(F.greatest(step, F.lit(0.5)), F.lit(64.0)))
+    need = F.greatest(F.floor(bits * tile * tile / 8 * _MARGIN / 256), F.lit(1))
+    most = F.when(tile <= 128, _MOST_SMALL).otherwise(_MOST_LARGE)
+    return F.greatest(F.lit(_LEAST), F.least(most, F.pow(F.lit(2.0), F.ceil(F.log2(need))))).cast("long")

@@ -90,3 +90,8 @@ def vbv_adjustment(fill_ratio: Column, mode: Column) -> Column:
         f = F.when(fill_ratio > 1 - edge, 1.0 / (1.0 + over * force)).when(fill_ratio < edge, 1.0 + under * force).otherwise(1.0)
         out = F.when(mode == name, f).otherwise(out)
     return out
+
+
+def all_zero(most: Column, step: Number, dead_zone: Number) -> Column:
+    """Whether nothing of a band of this largest magnitude leaves the dead zone, so that it needs no code."""
+    return most < _c(dead_zone) * _c(step)

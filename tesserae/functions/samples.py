@@ -65,3 +65,14 @@ def rgb_to_bt601(r: Column, g: Column, b: Column) -> tuple[Column, Column, Colum
     """Full-range luma and colour differences around 128."""
     y = 0.299 * r + 0.587 * g + 0.114 * b
     return y, 128.0 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128.0 + 0.5 * r - 0.418688 * g - 0.081312 * b
+
+
+def deinterleave(a: Column) -> Column:
+    """Struct of the three planes p0, p1, p2 whose samples an array holds in turn."""
+    plane = lambda k: F.filter(a, lambda _, i: i % 3 == k)
+    return F.struct(*(plane(k).alias(f"p{k}") for k in range(3)))
+
+
+def interleave(a: Column, b: Column, c: Column) -> Column:
+    """One array of the samples of three planes in turn."""
+    return F.flatten(F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), c.alias("c")), lambda z: F.array(z["a"], z["b"], z["c"])))

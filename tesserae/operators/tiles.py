@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .coders import CODERS, zero_tile
@@ -92,3 +92,10 @@ def zero_by_map(tiles: DataFrame, skips: DataFrame, keys: list[str]) -> DataFram
     """Tiles that the map names become zeros."""
     j = tiles.join(skips, [*keys, "tile_idx"], "left")
     return j.withColumn("data", F.when(F.coalesce("skip", F.lit(False)), F.transform("data", lambda x: x * 0)).otherwise(F.col("data"))).drop("skip")
+
+
+def zero_by_sad(blocks: DataFrame, reference: Column, threshold: float) -> DataFrame:
+    """Adds sad, the summed differences of data from the reference's samples, and makes data zeros where they are under the threshold."""
+    gap = F.aggregate(F.zip_with("data", reference, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
+    out = blocks.withColumn("sad", gap)
+    return out.withColumn("data", F.when(F.col("sad") < threshold, F.transform("data", lambda x: x * 0)).otherwise(F.col("data")))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.quant import let
+from ..functions.quant import dequantize, let, quantize
 from . import lifting
 
 
@@ -44,6 +44,12 @@ def idct(a: Column, n: int = 8) -> Column:
     return separable(a, [list(c) for c in zip(*dct_matrix(n), strict=True)], n)
 
 
+def dct_quantized(a: Column, step: float, dead_zone: float, n: int = 8) -> Column:
+    """Struct of a block's indices and its reconstruction (back) from them, in one projection."""
+    both = lambda q: F.struct(q.alias("indices"), idct(F.transform(q, lambda x: dequantize(x, step)), n).alias("back"))
+    return let(dct(a, n), lambda c: let(F.transform(c, lambda x: quantize(x, step, dead_zone)), both))
+
+
 def hadamard4(a: Column) -> Column:
     return separable(a, hadamard_matrix(), 4)
 
