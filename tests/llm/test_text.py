@@ -3,12 +3,15 @@
 import hashlib
 import itertools
 import json
+import random
 import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,3 +340,41 @@ def test_licenses(spark, edge_docs, no_docs):
         assert (i, name) in got and (100 + i, name) in got
     assert not any(d == 200 for d, _ in got) and (201, "mit-line") in got
     assert licenses.scan(edge_docs).count() == 0 and licenses.scan(no_docs).count() == 0 and licenses.scan(edge_docs, ()).count() == 0
+
+
+@pytest.mark.parametrize(("scale", "common"), [(1, 3), (2, 11), (2, 13)])
+def test_licenses_collide_as_stated(spark, scale, common):
+    size, _, bands, rows = licenses.SCALES[scale]
+    n, rng = 2000, random.Random(scale * 100 + common)
+    draw = lambda k: [rng.getrandbits(63) for _ in range(k)]
+    pairs = []
+    for _ in range(n):
+        both = draw(common)
+        pairs.append((both + draw(size - common), draw(size - common) + both))
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    keys = [licenses._keys(F.col(c), {scale: size}) for c in "ab"]
+    met = df.where(F.arrays_overlap(*keys)).count() / n
+    p = licenses.collision(common / (2 * size - common), bands, rows)
+    assert abs(met - p) < 4 * (p * (1 - p) / n) ** 0.5 + 0.002
+
+
+def test_licenses_changed_repeated_and_in_blocks(spark, monkeypatch):
+    rng, lead = random.Random(4), "some words before it " * 9
+    texts = dict((name, text.split()) for name, _, text in licenses.TEMPLATES)
+    rows = []
+    for name in ("mit-text", "bsd-2-text", "zlib-text", "gpl-notice", "mit-grant"):
+        for i in range(12):  # one word in thirty differs, at least one
+            ws = list(texts[name])
+            for at in rng.sample(range(len(ws)), max(1, len(ws) // 30)):
+                ws[at] = f"other{i}"
+            rows.append((len(rows), " ".join([lead[rng.randrange(80) :], *ws, lead])))
+    rows += [(len(rows), " ".join([*texts["mit-line"], lead, *texts["mit-text"]] * 40)), (len(rows) + 1, rows[0][1]), (len(rows) + 1, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(docs).collect()))
+    duck = duckdb.connect()
+    duck.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    want = duck.execute(f"SELECT doc_id, template, license, first_word, containment FROM ({licenses.ORACLE})").fetchall()
+    assert len(want) > 60 and got == sorted(want)
+    monkeypatch.setattr(licenses, "BLOCK_CHARS", 600)
+    assert len(list(licenses._blocks(licenses.TEMPLATES))) > 5
+    assert got == sorted(map(tuple, licenses.scan(docs).collect()))
