@@ -9,8 +9,8 @@ permutation of its own; a band's rows make a key, and keys are joined with the k
 
 Collision probability: windows of Jaccard similarity s share a key with probability 1 - (1 - s^rows)^bands (`collision`). A text that
 holds a template as it stands has a window that equals one of the template's, and is always retrieved. Where a fifth
-of a window's shingles differ, s is 2/3 and a window of 16 is retrieved with probability 0.991, one of 4 with 0.9986; longer
-templates have several windows, and each may be met.
+of a window's shingles differ, s is 2/3 and a window is retrieved with probability 0.9986, and longer templates
+have several windows. Rows of more than one hash would need far more bands for as much; what is retrieved in vain is verified.
 
 Verification, of each text and template retrieved: for every window of WINDOW shingles (every STRIDE) that holds a shingle of
 the template, the share of the template's shingles that stand in the window or as far around it as the template is long; at least
@@ -33,8 +33,8 @@ from .common import table
 
 SHINGLE, WINDOW, STRIDE, CONTAINMENT = 5, 16, 8, 0.8
 #: (shingles of a window, stride, bands, rows of a band)
-SCALES = ((1, 1, 1, 1), (4, 2, 6, 1), (16, 8, 8, 2))
-#: At most eight keys for a word of two characters: a broadcast of 0.2 GB at the very worst, 50 MB for English.
+SCALES = ((1, 1, 1, 1), (4, 2, 6, 1), (16, 8, 6, 1))
+#: At most six keys for a word of two characters: a broadcast of 0.2 GB at the very worst, 50 MB for English.
 BLOCK_CHARS = 1_000_000
 #: Runs of other characters part words.
 GAP = r"[^\p{L}\p{N}]+"
@@ -118,18 +118,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), GAP, -1), lambda w: w != "")
 
 
-def _shingles(ws: Column, one) -> Column:
-    """one(words of the shingle) for each shingle; fewer words than SHINGLE make one, none makes none."""
-    n = F.greatest(F.size(ws) - (SHINGLE - 1), F.least(F.size(ws), F.lit(1)))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: one(F.slice(ws, i, F.lit(SHINGLE))))).otherwise(F.transform(F.slice(ws, 1, 0), lambda x: one(F.array(x))))
-
-
 def _hashes(ws: Column) -> Column:
-    return _shingles(ws, lambda s: F.xxhash64(s))
+    """A hash of each shingle, made of its words' hashes; null words after the last are left out of it."""
+    n = F.when(F.size(ws) > 0, F.greatest(F.size(ws) - (SHINGLE - 1), F.lit(1))).otherwise(0)
+    of_words = F.transform(ws, lambda w: F.xxhash64(w))
+    return let(of_words, lambda h: F.transform(F.slice(h, F.lit(1), n), lambda first, i: F.xxhash64(first, *(F.get(h, i + j) for j in range(1, SHINGLE)))))
 
 
 def _texts(ws: Column) -> Column:
-    return _shingles(ws, lambda s: F.array_join(s, " "))
+    """The words of each shingle; fewer words than SHINGLE make one, none makes none."""
+    n = F.greatest(F.size(ws) - (SHINGLE - 1), F.least(F.size(ws), F.lit(1)))
+    shingles = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(ws, i, F.lit(SHINGLE)), " "))
+    return F.when(n > 0, shingles).otherwise(F.array().cast("array<string>"))
 
 
 def collision(similarity: float, bands: int, rows: int) -> float:
