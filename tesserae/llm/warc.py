@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table, tidy, written
+from .common import drop_written, shared_dir, small_batches, table, tidy, written
 from .files import Output, open_input
 
 DATE = "1970-01-01T00:00:00Z"
@@ -134,14 +134,15 @@ def _need_stored(found: dict, name: str) -> tuple[int, int]:
     return at, size
 
 
-def with_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with a row number, and refers: (page_id, row) of the response that each equals, null if it is alone.
-
-    The rows are written with their numbers first: whatever is computed again later reads the same ones.
-    """
+def numbered(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with a row number and sha1, as a written table: whatever is computed again later reads the same numbers."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     df = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html")).withColumn("row", F.monotonically_increasing_id())
-    df = written(df.withColumn("sha1", F.sha1("html")), "warc-rows")
+    return written(df.withColumn("sha1", F.sha1("html")), "warc-rows", "gzip")
+
+
+def with_records(df: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """numbered() pages with the page_id and row of the response that each equals, null if it is alone."""
     several = (
         df.where(F.octet_length("html") >= min_bytes)
         .groupBy("sha1")
@@ -202,7 +203,10 @@ def write(pages: DataFrame, uri: str, min_bytes: int = 0) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [len(index)]})
 
     small_batches(pages.sparkSession)
-    return written(with_records(pages, min_bytes).mapInArrow(tidy(save), "file string, n_records long"), "packages")
+    rows = numbered(pages)
+    files = written(with_records(rows, min_bytes).mapInArrow(tidy(save), "file string, n_records long"), "packages")
+    drop_written(rows)
+    return files
 
 
 def blocks(files: DataFrame, uri: str) -> DataFrame:
