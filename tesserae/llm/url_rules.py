@@ -1,7 +1,7 @@
 """URL filters: explicit host and path rules first, then association rules mined from labelled URLs.
 
 Spark FP-growth (JVM) mines combinations of URL tokens with the label of their page; rules whose consequent is the
-label are pruned by support and confidence, then by minimality. Matching uses an inverted index: a rule stands under
+label are pruned by support and confidence, then by minimality; they may have any number of tokens. Matching uses an inverted index: a rule stands under
 the one of its tokens that fewest rules share, pages' tokens are joined with the index, and a hit needs all tokens of the rule. DataFrame functions
 and the JVM's FP-growth only.
 
@@ -25,8 +25,6 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 MIN_SUPPORT = 0.005
 MIN_COUNT = 5
 MIN_CONFIDENCE = 0.8
-#: Tokens of a rule's antecedent.
-MAX_TOKENS = 3
 BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,42 +60,69 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (tokens sorted, support, confidence) from (tokens, bad). No labelled row or no bad row: no rule."""
+def classes(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, class) of the tokens that at least so many bad rows hold, which all tokens of a rule must be.
+
+    Tokens that stand in the same labelled rows are one class, named by its least token: alone they would be in every
+    combination with each other, and the number of combinations doubles with each. Rows are told by two sums of hashes.
+    """
+    one = labelled.withColumn("row", F.monotonically_increasing_id()).select("bad", "row", F.explode("tokens").alias("token"))
+    rows = [F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("s2")]
+    of = one.groupBy("token").agg(F.count_if("bad").alias("n_bad"), *rows).where(F.col("n_bad") >= least)
+    # at most the tokens of a URL divided by MIN_SUPPORT of them
+    of = written(of.select("token", "n", "s1", "s2"), "tokens")
+    names = of.groupBy("n", "s1", "s2").agg(F.min("token").alias("class"))
+    return written(of.join(names, ["n", "s1", "s2"]).select("token", "class"), "classes")
+
+
+def in_classes(df: DataFrame, of: DataFrame, *keys: str) -> DataFrame:
+    """(keys, tokens): the distinct classes of each row's tokens, for rows that have any."""
+    one = df.select(*keys, F.explode("tokens").alias("token")).join(of, "token")
+    return one.groupBy(*keys).agg(F.collect_set("class").alias("tokens"))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Rules (tokens sorted, support, confidence) of token classes from (tokens, bad), and the classes (token, class).
+
+    No labelled row or no bad row: no rule."""
     spark = labelled.sparkSession
     none = spark.createDataFrame([], "tokens array<string>, support long, confidence double")
     n, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
     least = max(min_count, math.ceil(min_support * n))
     if not n or bad < least:
-        return none
-    items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=1.0).fit(items).freqItemsets
-    sets = written(sets.where(F.size(F.array_remove("items", BAD)) <= MAX_TOKENS).select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+        return none, spark.createDataFrame([], "token string, class string")
+    of = classes(labelled, least)
+    rows = in_classes(labelled.withColumn("row", F.monotonically_increasing_id()), of, "row", "bad")
+    items = rows.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    items = written(items, "items")
+    held = items.count()
+    if not held:
+        return none, of
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / held, minConfidence=1.0).fit(items).freqItemsets
+    sets = written(sets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     with_label = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("support"))
-    of = sets.select(F.col("items").alias("tokens"), F.col("freq").alias("seen"))
-    return (
-        with_label.join(of, "tokens")
-        .select("tokens", "support", (F.col("support") / F.col("seen")).alias("confidence"))
-        .where(F.col("confidence") >= min_confidence)
-    )
+    seen = sets.select(F.col("items").alias("tokens"), F.col("freq").alias("seen"))
+    rules = with_label.join(seen, "tokens").select("tokens", "support", (F.col("support") / F.col("seen")).alias("confidence"))
+    return rules.where(F.col("confidence") >= min_confidence), of
+
+
+def _indexed(rules: DataFrame) -> DataFrame:
+    """(token, need): each rule's tokens under the one of them that fewest rules share."""
+    of = rules.select("tokens", F.explode("tokens").alias("token"))
+    spread = of.groupBy("token").agg(F.count("*").alias("n"))
+    return of.join(spread, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token")).select("token", F.col("tokens").alias("need"))
 
 
 def minimal(rules: DataFrame) -> DataFrame:
-    """Rules none of whose proper subsets is a rule: what they match is matched anyway. Subsets have one or two tokens."""
-    t = F.col("tokens")
-    singles = F.transform(t, lambda x: F.array(x))
-    pairs = F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.lit(MAX_TOKENS)), lambda y: F.array(x, y))))
-    subsets = F.when(F.size(t) == 3, F.concat(singles, pairs)).when(F.size(t) == 2, singles).otherwise(F.array().cast("array<array<string>>"))
-    covered = rules.select("tokens", F.explode(subsets).alias("sub")).join(rules.select(F.col("tokens").alias("sub")), "sub").select("tokens").distinct()
-    return rules.join(covered, "tokens", "left_anti")
+    """Rules none of whose proper subsets is a rule: what they match is matched anyway."""
+    met = rules.select("tokens", F.explode("tokens").alias("token")).join(_indexed(rules), "token")
+    within = (F.size("need") < F.size("tokens")) & (F.size(F.array_except("need", "tokens")) == 0)
+    return rules.join(met.where(within).select("tokens").distinct(), "tokens", "left_anti")
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct keys of urls (key, tokens) that a rule (tokens) matches, by an inverted index with each rule under one token."""
-    of = rules.select("tokens", F.explode("tokens").alias("token"))
-    spread = of.groupBy("token").agg(F.count("*").alias("n"))
-    index = of.join(spread, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token")).select("token", F.col("tokens").alias("need"))
-    hit = urls.select("key", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    hit = urls.select("key", "tokens", F.explode("tokens").alias("token")).join(_indexed(rules), "token")
     return hit.where(F.size(F.array_except("need", "tokens")) == 0).select("key").distinct()
 
 
@@ -113,10 +138,12 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("bad"))
     toks = tokens(F.col("url"), F.col("host"), F.col("path"))
     labelled = urls.join(known, F.col("page_id") == F.col("doc_id")).where("host <> ''").select(toks.alias("tokens"), "bad")
-    rules = minimal(mine(labelled))
+    rules, of = mine(labelled)
+    rules = written(minimal(rules), "rules")
+    of = of.join(rules.select(F.explode("tokens").alias("class")).distinct(), "class", "left_semi").select("token", "class")
     # copies of a URL have the same tokens: each distinct one is matched once
     distinct_urls = urls.where("host <> ''").groupBy("url", "host", "path").agg(F.lit(1).alias("one")).select(F.col("url").alias("key"), toks.alias("tokens"))
-    hit = matches(distinct_urls, rules).select("key", F.lit(True).alias("hit"))
+    hit = matches(in_classes(distinct_urls, of, "key"), rules).select("key", F.lit(True).alias("hit"))
     rule = rule_of(F.col("host"), F.col("path"))
     out = urls.join(hit, F.col("url") == F.col("key"), "left").withColumn("rule", rule)
     said = F.lit(None).cast("string")
@@ -132,7 +159,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FITS = " ".join(
     f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{{{i}}}'" for i, (h, p, _) in sorted(enumerate(RULES), key=lambda x: -len(x[1][0]) - len(x[1][1]))
 )
-#: The same by enumeration of all token combinations up to MAX_TOKENS.
+#: The same by enumeration of all combinations of up to three tokens.
 ORACLE = f"""
 WITH u AS (
     SELECT page_id, url, CASE WHEN has THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') ELSE '' END AS host,

@@ -308,3 +308,18 @@ def test_mined_rules(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 1 and i % 3 == 0)) for i, _ in rows if i < 180], "doc_id long, toxic int")
     got = {r.page_id: r.verdict for r in url_rules.judge(pages, labels).collect()}
     assert got == {i: "block" if i % 2 and i % 3 == 0 else "allow" for i, _ in rows}
+
+
+def test_mined_rules_of_many_tokens(spark):
+    """A rule of four tokens, none of three; twenty tokens that always stand together are one to the miner."""
+    rows, bad = [], []
+    for i in range(480):
+        has = [i >> k & 1 for k in range(4)]
+        path = "/".join(f"{'yes' if h else 'no'}{'abcd'[k]}" for k, h in enumerate(has))
+        rows.append((i, f"http://{'x.' * 3}site.com/{path}/" + "/".join(f"fixed{c}" for c in "abcdefghijklmnopqrst")))
+        bad.append((i, int(all(has))))
+    rows += [(500, "http://yesa.org/yesb/yesc/yesd"), (501, "http://other.org/yesa/yesb/yesc/yesd"), (502, "http://other.org/yesa/yesb/yesc")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, spark.createDataFrame(bad, "doc_id long, toxic int")).collect()}
+    want = {i: "block" if b else "allow" for i, b in bad} | {500: "allow", 501: "block", 502: "allow"}
+    assert got == want
