@@ -11,6 +11,22 @@ from pyspark.sql import functions as F
 HISTORY = 30
 
 
+def _exp(x: float) -> float:
+    """e^x, infinite where it passes the largest double, as math.exp raises an error there."""
+    try:
+        return math.exp(x)
+    except OverflowError:
+        return math.inf
+
+
+def _power(x: float, y: float) -> float:
+    """x^y of a positive x, infinite where it passes the largest double."""
+    try:
+        return x**y
+    except OverflowError:
+        return math.inf
+
+
 def buffer_fold(df: DataFrame, keys: list[str], bits: Column, budget: float, capacity: float) -> DataFrame:
     """(keys, fills): the buffer after each frame of a key, half full at first; a fold that Spark runs over the ordered array."""
     rows = df.select(*keys, F.struct("pos", bits.alias("bits")).alias("s")).groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("s"))
@@ -52,7 +68,7 @@ class Controller:
     def step(self) -> float:
         """The step for the next frame: the model's, moved by the buffer."""
         target = self.bitrate / (self.fps * self.pixels)
-        raw = (self.c / target) ** (1 / self.alpha) if target > 0 and self.c > 0 and self.alpha > 0 else 4.0
+        raw = _power(self.c / target, 1 / self.alpha) if target > 0 and self.c > 0 and self.alpha > 0 else 4.0
         edge, force = (0.2, 0.5) if self.mode == "cbr" else (0.1, 0.3)
         full = self.fill / self.capacity
         factor = 1 / (1 + (full - 1 + edge) / edge * force) if full > 1 - edge else 1 + (edge - full) / edge * force if full < edge else 1.0
@@ -68,16 +84,16 @@ class Controller:
         good = [(s, b) for s, b in self.history if s > 0 and b > 0]
         if len(self.history) < 2:
             if good:
-                self.c = good[-1][1] * good[-1][0] ** self.alpha
+                self.c = good[-1][1] * _power(good[-1][0], self.alpha)
             return
         if len(good) < 2:
             return
         n, xs, ys = len(good), [math.log(s) for s, _ in good], [math.log(b) for _, b in good]
         det = n * sum(x * x for x in xs) - sum(xs) ** 2
         if abs(det) < 1e-12:
-            self.c = sum(b for _, b in good) / n * (sum(s for s, _ in good) / n) ** self.alpha
+            self.c = sum(b for _, b in good) / n * _power(sum(s for s, _ in good) / n, self.alpha)
             return
         slope = (n * sum(x * y for x, y in zip(xs, ys, strict=True)) - sum(xs) * sum(ys)) / det
-        c = math.exp((sum(ys) - slope * sum(xs)) / n)
+        c = _exp((sum(ys) - slope * sum(xs)) / n)
         if 0.1 < -slope < 5 and c > 0 and math.isfinite(c):
             self.alpha, self.c = -slope, c

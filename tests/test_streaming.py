@@ -46,3 +46,16 @@ def test_running_groups(spark, tmp_path):
     finally:
         q.stop()
     assert [(r.gop, r.frames, r.bits) for r in spark.table("rates").orderBy(F.col("gop")).collect()] == [(0, 4, 40), (1, 4, 40), (2, 2, 20)]
+
+
+def test_steep_fits_keep_the_model(spark):
+    """Steps that hardly differ give slopes whose constant passes the largest double; such a fit is dropped, as in the reference."""
+    rows = [(1, i, (24.0, 21.3, 7.8)[i // 31]) for i in range(93)]
+    got = rate.controlled_batch(spark.createDataFrame(rows, "seq_id long, pos long, complexity double"), 3e6, 30.0, 100_000).collect()
+    assert len(got) == 93 and all(0.5 <= r.step <= 128 and 0 <= r.fill <= 6e6 for r in got)
+    c = rate.Controller(3e6, 30.0, 100_000)
+    for step, bpp in ((4.0, 1.0), (4.00004, 0.1)):
+        before = c.alpha
+        c.update(step, bpp)
+    assert c.alpha == before == 1.2 and c.c == 4.0**1.2
+    assert rate.Controller(3e6, 30.0, 100_000, c=1e40, alpha=0.11).step() == 128
