@@ -90,7 +90,8 @@ def _distances(fp: Column, mask: int | None = None) -> list[Column]:
     return packs
 
 
-def _masks() -> list[int]:
+def masks() -> list[int]:
+    """The bits of each pair of blocks, as signed numbers."""
     blocks = [0xFFFF << (16 * i) for i in range(4)]
     both = [blocks[i] | blocks[j] for i in range(4) for j in range(i + 1, 4)]
     return [m - (1 << 64) if m >> 63 else m for m in both]
@@ -111,7 +112,7 @@ def links(distinct_fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     fp = F.col("fp")
     p0, p1 = _distances(fp)
     rows = distinct_fps.select("fp", p0.alias("p0"), p1.alias("p1")).select(
-        "fp", "p0", "p1", F.explode(F.array(*(F.struct(F.lit(i).alias("m"), _distances(fp, m)[0].alias("k0"), _distances(fp, m)[1].alias("k1")) for i, m in enumerate(_masks())))).alias("b")
+        "fp", "p0", "p1", F.explode(F.array(*(F.struct(F.lit(i).alias("m"), _distances(fp, m)[0].alias("k0"), _distances(fp, m)[1].alias("k1")) for i, m in enumerate(masks())))).alias("b")
     ).select("fp", "p0", "p1", F.col("b.m").alias("m"), F.col("b.k0").alias("k0"), F.col("b.k1").alias("k1"))
     keys = ["m", "k0", "k1"]
     several = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

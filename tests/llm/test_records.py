@@ -184,6 +184,66 @@ def test_filters_lose_no_similar_pair():
             assert np.abs(np.diff(similar.distances(prints).astype(int), axis=0)).max() <= similar.FAR
 
 
+def test_fingerprint_tables_meet_two_bits():
+    """Fingerprints that differ in two bits of a word at most share a key of its tables, whatever the other words are."""
+    rng = np.random.default_rng(21)
+    a = rng.integers(0, 1 << 63, (500, 4), dtype=np.int64).view(np.uint64)
+    b = rng.integers(0, 1 << 63, (500, 4), dtype=np.int64).view(np.uint64)
+    for i in range(500):
+        x, y = rng.integers(0, 64, 2)
+        b[i, i % 4] = a[i, i % 4] ^ np.uint64(1 << int(x)) ^ np.uint64(1 << int(y))
+    same = similar.table_keys(a) == similar.table_keys(b)
+    assert same.shape == (500, 24)
+    assert all(same[i, 6 * (i % 4) : 6 * (i % 4) + 6].any() for i in range(500))
+    assert same.reshape(500, 4, 6)[np.arange(500), (np.arange(500) + 1) % 4].mean() < 0.01
+
+
+def test_similar_by_fingerprints_alone(spark, monkeypatch):
+    """The pivot tables find near copies by themselves; the exact search after them is for the rest."""
+    monkeypatch.setattr(similar, "prefix_length", lambda n: 0)
+    rng, docs = np.random.default_rng(22), []
+    for g in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 30, 300)]
+        for i in range(3):
+            docs.append((3 * g + i, " ".join([*words[: 50 * i], *([f"n{g}x{i}"] if i else []), *words[50 * i + (i > 0) :]])))
+    got = _grouped(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = sum(got[i] == i - i % 3 for i in got)
+    assert found >= 0.95 * len(docs) and all(got[i] // 3 == i // 3 for i in got)
+
+
+def test_sieve(spark):
+    """All numbers that are looked for pass, and hardly any other; none passes an empty one."""
+    numbers = spark.range(40_000).select(F.xxhash64("id").alias("x"), "id").repartition(7)
+    for wanted in (0, 1, 5000):
+        passed = {r.id for r in numbers.where(similar.sieve(numbers.where(f"id < {wanted}").select("x"))(F.col("x"))).select("id").collect()}
+        assert set(range(wanted)) <= passed and len(passed) - wanted < 100
+
+
+def test_whole_texts_are_not_dealt(spark, tmp_path):
+    """What the stage deals of texts are those that may be similar, not the table: the shuffled rows that hold a text are few."""
+    rng = np.random.default_rng(23)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 60)) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts), (400, texts[7]), (401, f"{texts[9]} end")], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = similar.keep_one(docs)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+        plans, most = [kept._jdf.queryExecution().executedPlan()], 0
+        while plans:
+            p = plans.pop()
+            if p.nodeName() == "AdaptiveSparkPlan":
+                plans.append(p.executedPlan())
+            elif "QueryStage" in p.nodeName():
+                plans.append(p.plan())
+            else:
+                if p.nodeName() == "Exchange" and "text" in p.output().toString():
+                    most = max(most, p.metrics().apply("shuffleRecordsWritten").value())
+                plans += [p.children().apply(i) for i in range(p.children().size())]
+        assert 2 <= most < 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_lattice_points():
     rng = np.random.default_rng(5)
     near = lattice.minimal_vectors()
