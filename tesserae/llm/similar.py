@@ -283,7 +283,7 @@ def _shared(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([is_table] * len(one[0]), pa.bool_()), *map(pa.array, one)], names=["table", "node", "key", "at", "size"])
 
     dealt = rows.select("h1", "keys", *_fs()).mapInArrow(tidy(deal), "part long, table boolean, key binary, node binary, at binary")
-    return dealt.repartition(parts, "part").mapInArrow(tidy(meet), "table boolean, node long, key long, at long, size long")
+    return dealt.repartitionById(parts, F.col("part").cast("int")).mapInArrow(tidy(meet), "table boolean, node long, key long, at long, size long")
 
 
 def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
